@@ -1,0 +1 @@
+"""Intentionally empty: every supported workload reads finite files, so there is no streaming operator."""
