@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelmill.functions.safe import ln, ratio
+from panelmill.operators.joins import null_safe_merge
 
 
 def _by_time(entity: Sequence[str], time: str):
@@ -56,9 +57,22 @@ def attach_base(df: DataFrame, entity: Sequence[str], time: str, base: int, **ou
     return df.withColumns({new: F.max(F.when(F.col(time) == base, F.col(x))).over(w) for new, x in out.items()})
 
 
-def occurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    """Running number of each row within its key."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def occurrence(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, slices: Column) -> DataFrame:
+    """Running number of each row within its key.
+
+    ``slices`` must not decrease along ``order`` (say, the month of a leading date). Rows are numbered
+    inside (key, slice) and the counts of the key's earlier slices are added, so that a key with very
+    many rows is spread over tasks.
+    """
+    keys = list(keys)
+    rows = df.withColumn("__slice", slices)
+    sizes = rows.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    upto = Window.partitionBy(*keys).orderBy("__slice")
+    offsets = sizes.withColumn("__before", F.sum("__n").over(upto) - F.col("__n")).drop("__n")
+    inside = Window.partitionBy(*keys, "__slice").orderBy(*order)
+    numbered = rows.withColumn("__at", F.row_number().over(inside))
+    joined = null_safe_merge(numbered, offsets, [*keys, "__slice"])
+    return joined.withColumn(out, F.col("__before") + F.col("__at")).drop("__slice", "__before", "__at")
 
 
 def interpolate(df: DataFrame, entity: Sequence[str], time: str, **out: str) -> DataFrame:

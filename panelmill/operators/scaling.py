@@ -72,3 +72,16 @@ def above_median(df: DataFrame, x: str, out: str, by: Sequence[str] = ()) -> Dat
 def keep_max(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows that hold the group maximum of ``x``; ties stay."""
     return attach_stats(df, by, {"__max": F.max(x)}).where(F.col(x) == F.col("__max")).drop("__max")
+
+
+def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(variable, n, nulls, mean, low, q1, median, q3, high) for each numeric column."""
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "variable", "__v")
+    basics = long.groupBy("variable").agg(
+        F.count("__v").alias("n"), F.count(F.when(F.col("__v").isNull(), F.lit(1))).alias("nulls"),
+        F.avg("__v").alias("mean"), F.min("__v").alias("low"), F.max("__v").alias("high"),
+    )
+    q = F.col("quantiles")
+    middle = exact_quantiles(long, "__v", [0.25, 0.5, 0.75], ["variable"])
+    middle = middle.select("variable", q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"))
+    return basics.join(middle, "variable", "left")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.functions.safe import flag, ratio
+from panelmill.functions.safe import flag
 from panelmill.functions.weighted import wmean, wshare
 from panelmill.models.design import design
 from panelmill.models.logit import LogitFit, fit_logit
@@ -101,6 +101,3 @@ def move_propensity(rows: DataFrame, exposure: str, controls: Sequence[str], clu
 def move_rates(rows: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.avg("mig").alias("mig"))
 
-
-def net_rate(flows: DataFrame) -> DataFrame:
-    return flows.withColumn("net_rate", ratio("net", "num"))
