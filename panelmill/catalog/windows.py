@@ -166,8 +166,8 @@ def w16(spark, sf):
 
 @query(
     "w17_interpolate",
-    f"""WITH daily AS (SELECT event_type, CAST(day(ts) AS BIGINT) AS d, CASE WHEN day(ts) % 4 NOT IN (1, 2) THEN sum(value) END AS x
-      FROM events GROUP BY 1, 2),
+    f"""WITH sums AS (SELECT event_type, CAST(day(ts) AS BIGINT) AS d, sum(value) AS x FROM events GROUP BY 1, 2),
+    daily AS (SELECT event_type, d, CASE WHEN d % 4 NOT IN (1, 2) THEN x END AS x FROM sums),
     w AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS x0, last_value(CASE WHEN x IS NOT NULL THEN d END IGNORE NULLS) OVER b AS t0,
       first_value(x IGNORE NULLS) OVER a AS x1, first_value(CASE WHEN x IS NOT NULL THEN d END IGNORE NULLS) OVER a AS t1 FROM daily
       WINDOW b AS (PARTITION BY event_type ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),

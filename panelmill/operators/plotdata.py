@@ -124,7 +124,8 @@ def roc_points(df: DataFrame, score: str, label: str, steps: int = 1000, by: Seq
     counts = df.where(s.isNotNull()).groupBy(*by, below.alias("k")).agg(pos.alias("p"), neg.alias("q"))
     totals = counts.groupBy(*by).agg(F.sum("p").alias("__p"), F.sum("q").alias("__q"))
     # An entry for every cut-off index, so that each group has all steps + 1 of them.
-    every = totals.select(*by, F.explode(F.sequence(F.lit(0), F.lit(steps + 1))).cast("long").alias("k"), F.lit(0).alias("p"), F.lit(0).alias("q"))
+    cut_offs = F.sequence(F.lit(0).cast("long"), F.lit(steps + 1).cast("long"))
+    every = totals.select(*by, F.explode(cut_offs).alias("k"), F.lit(0).alias("p"), F.lit(0).alias("q"))
     filled = counts.unionByName(every).groupBy(*by, "k").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     above = Window.partitionBy(*(by or [F.lit(1)])).orderBy(F.col("k").desc())
     run = filled.withColumns({"p": F.sum("p").over(above), "q": F.sum("q").over(above)})
@@ -153,7 +154,8 @@ def half_split(df: DataFrame, key: str, label: str, replicates: int = 1, seed: i
     cut is the exact rank cut of the hash, found by the quantile operator rather than a sort per label.
     """
     draw = F.conv(F.left(F.md5(F.concat_ws("-", F.col(key), F.col("replicate"), F.lit(seed))), F.lit(13)), 16, 10)
-    rows = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))).cast("long"))
+    numbers = F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long"))
+    rows = df.withColumn("replicate", F.explode(numbers))
     rows = rows.withColumn("__draw", draw.cast("double"))
     groups = ["replicate", label]
     # Half of n, halves to even, then the gap between that rank and the next one.

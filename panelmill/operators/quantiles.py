@@ -98,6 +98,14 @@ def _ranked_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequenc
     return result.select(*by, "quantiles")
 
 
+def rounding_slack(x: Column) -> Column:
+    """Allowance for comparing a value with a statistic of the same values.
+
+    A column of summed doubles may differ in its last digits when Spark computes it a second time.
+    """
+    return F.abs(x) * 1e-12
+
+
 def interval_index(x: str | Column, breaks: str | Column, clamp_top: bool = False) -> Column:
     """Number of breaks at or below ``x``; the maximum lands one above the last bin unless clamped."""
     x = F.col(x) if isinstance(x, str) else x
@@ -124,5 +132,6 @@ def quantile_bins(
         df = null_safe_merge(df, cut, by, "left")
     else:
         df = df.withColumn("quantiles", cut.select("quantiles").scalar())
-    index = interval_index(x, "quantiles", clamp_top)
+    value = F.col(x).cast("double")
+    index = interval_index(value + rounding_slack(value), "quantiles", clamp_top)
     return df.withColumn(out, index if where is None else F.when(where, index)).drop("quantiles")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions.safe import as_col, ratio
 from panelmill.operators.joins import null_safe_merge
-from panelmill.operators.quantiles import exact_quantiles
+from panelmill.operators.quantiles import exact_quantiles, rounding_slack
 
 
 def attach_stats(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
@@ -62,7 +62,8 @@ def attach_quantile(df: DataFrame, x: str, q: float, out: str, by: Sequence[str]
 
 def above_quantile(df: DataFrame, x: str, q: float, out: str, by: Sequence[str] = ()) -> DataFrame:
     """Flag rows strictly above the group's ``q`` quantile."""
-    return attach_quantile(df, x, q, "__cut", by).withColumn(out, F.col(x) > F.col("__cut")).drop("__cut")
+    cut = F.col("__cut") + rounding_slack(F.col("__cut"))
+    return attach_quantile(df, x, q, "__cut", by).withColumn(out, F.col(x) > cut).drop("__cut")
 
 
 def above_median(df: DataFrame, x: str, out: str, by: Sequence[str] = ()) -> DataFrame:
@@ -71,7 +72,11 @@ def above_median(df: DataFrame, x: str, out: str, by: Sequence[str] = ()) -> Dat
 
 def keep_max(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows that hold the group maximum of ``x``; ties stay."""
-    return attach_stats(df, by, {"__max": F.max(x)}).where(F.col(x) == F.col("__max")).drop("__max")
+    rows = attach_stats(df, by, {"__max": F.max(x)})
+    least = F.col("__max")
+    if dict(df.dtypes)[x] in ("double", "float"):
+        least = least - rounding_slack(least)
+    return rows.where(F.col(x) >= least).drop("__max")
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
