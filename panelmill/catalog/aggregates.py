@@ -200,11 +200,11 @@ def a22(spark, sf):
     "a23_herfindahl",
     f"""WITH {FACTS_JOB}, cells AS (SELECT area, yr, ind, sum(wt) AS emp FROM persons GROUP BY area, yr, ind),
     shares AS (SELECT area, yr, emp / sum(emp) OVER (PARTITION BY area, yr) AS share FROM cells)
-    SELECT area, yr, {R('sum(share * share)', 'hh')} FROM shares GROUP BY area, yr""",
+    SELECT area, yr, {R('sum(share * share)', 'hh', 9)} FROM shares GROUP BY area, yr""",
 )
 def a23(spark, sf):
     cells = facts_job(spark, sf).groupBy("area", "yr", "ind").agg(F.sum("wt").alias("emp"))
-    return rounded(herfindahl(cells, "emp", ["area", "yr"]), "hh")
+    return rounded(herfindahl(cells, "emp", ["area", "yr"]), "hh", digits=9)
 
 
 def _profile_sql(column: str) -> str:

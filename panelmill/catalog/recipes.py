@@ -17,7 +17,7 @@ from panelmill.models.linear import fit_linear
 from panelmill.operators import allocation
 from panelmill.operators.panel import log_change_next
 from panelmill.operators.quantiles import quantile_bins
-from panelmill.operators.scaling import above_median
+from panelmill.operators.scaling import above_median, share_of_total
 from panelmill.plans import cohorts, concentration, decomposition, degrees, did, exposure, migration, panels, shocks
 from panelmill.plans.regressions import fit_many, growth_models
 from panelmill.sources.tables import literal_table, year_bins
@@ -58,8 +58,8 @@ def entry_wage_slope(spark, sf):
 
 # Traits of parts: mean quantity and mean tax from the order lines, brand membership as a third source.
 TRAITS = """traits AS (
-    SELECT l_partkey AS part, 'quantity' AS element, CAST(avg(l_quantity) > 25 AS DOUBLE) AS value FROM lineitem GROUP BY 1
-    UNION ALL SELECT l_partkey, 'tax', CAST(avg(l_tax) > 0.04::DOUBLE AS DOUBLE) FROM lineitem GROUP BY 1
+    SELECT l_partkey AS part, 'quantity' AS element, CAST(round(avg(l_quantity), 9) > 25 AS DOUBLE) AS value FROM lineitem GROUP BY 1
+    UNION ALL SELECT l_partkey, 'tax', CAST(round(avg(l_tax), 9) > 0.04::DOUBLE AS DOUBLE) FROM lineitem GROUP BY 1
     UNION ALL SELECT p_partkey, 'unused', 1.0::DOUBLE FROM part),
   wide AS (SELECT concat(CAST(part AS VARCHAR), CASE WHEN part % 3 = 0 THEN '.01' ELSE '.00' END) AS code,
     max(value) FILTER (WHERE element = 'quantity') AS quantity, max(value) FILTER (WHERE element = 'tax') AS tax
@@ -70,7 +70,7 @@ TRAITS = """traits AS (
 
 def trait_frames(spark, sf):
     code = lambda k: F.concat(F.col(k).cast("string"), F.when(F.col(k) % 3 == 0, ".01").otherwise(".00")).alias("code")
-    lines = table(spark, sf, "lineitem").groupBy("l_partkey").agg(F.avg("l_quantity").alias("q"), F.avg("l_tax").alias("t"))
+    lines = table(spark, sf, "lineitem").groupBy("l_partkey").agg(r(F.avg("l_quantity"), 9).alias("q"), r(F.avg("l_tax"), 9).alias("t"))
     row = lambda name, x: (code("l_partkey"), F.lit(name).alias("element"), x.alias("value"))
     quantity = lines.select(*row("quantity", flag(F.col("q") > 25)))
     tax = lines.select(*row("tax", flag(F.col("t") > 0.04)))
@@ -127,9 +127,14 @@ def allocated(spark, sf):
     return allocation.allocate(measures, places, "unit", "num", ["county"], ["kind"])
 
 
-@query("d3_allocation", f"WITH {ALLOCATED} SELECT county, kind, {R('num', 'num', 2)} FROM counties")
+@query(
+    "d3_allocation",
+    f"""WITH {ALLOCATED} SELECT county, kind, {R('num / 1e6::DOUBLE', 'num', 3)}, {R('num / sum(num) OVER (PARTITION BY county)', 'share', 9)}
+    FROM counties""",
+)
 def d3(spark, sf):
-    return rounded(allocated(spark, sf), "num", digits=2)
+    spread = share_of_total(allocated(spark, sf), "num", ["county"], "share")
+    return spread.select("county", "kind", r(F.col("num") / 1e6, 3).alias("num"), r("share", 9).alias("share"))
 
 
 @query(
@@ -184,12 +189,16 @@ def _hh_sql(where: str) -> str:
     return f"""WITH {FACTS_JOB}, c AS (SELECT area, yr, ind, sum(wt) AS emp, sum(wt * score) / sum(wt) AS score FROM persons {where} GROUP BY area, yr, ind),
     s AS (SELECT *, emp / sum(emp) OVER (PARTITION BY area, yr) AS share FROM c),
     h AS (SELECT area, yr, sum(share * share) AS hh, sum(emp * score) / sum(emp) AS score FROM s WHERE emp > 0 GROUP BY area, yr)
-    SELECT area, yr, {Rs('hh score')}, score > (SELECT median(score) FROM h) AS above FROM h"""
+    SELECT area, yr, {R('hh', 'hh', 9)}, {R('score', 'score', 12)}, score > (SELECT median(score) FROM h) * (1 + 1e-12::DOUBLE) AS above FROM h"""
+
+
+def _hh_rounded(index):
+    return rounded(rounded(index, "hh", digits=9), "score", digits=12)
 
 
 @query("d8_herfindahl", _hh_sql(""))
 def d8(spark, sf):
-    return rounded(concentration.industry_concentration(facts_job(spark, sf), ["area", "yr"], "ind", "wt", "score"), "hh", "score")
+    return _hh_rounded(concentration.industry_concentration(facts_job(spark, sf), ["area", "yr"], "ind", "wt", "score"))
 
 
 @query("d8_herfindahl_without", _hh_sql("WHERE ind NOT IN ('Brand#1', 'Brand#2')"))
@@ -197,7 +206,7 @@ def d8_without(spark, sf):
     index = concentration.industry_concentration(
         facts_job(spark, sf), ["area", "yr"], "ind", "wt", "score", drop=["Brand#1", "Brand#2"]
     )
-    return rounded(index, "hh", "score")
+    return _hh_rounded(index)
 
 
 @query(
@@ -210,17 +219,17 @@ def d8_broad(spark, sf):
         F.col("p_partkey").alias("part_id"), ladder([(size <= 10, "a"), (size <= 25, "b")], "c").alias("ind")
     )
     rows = facts(spark, sf).join(broad, "part_id")
-    return rounded(concentration.industry_concentration(rows, ["area", "yr"], "ind", "wt", "score"), "hh", "score")
+    return _hh_rounded(concentration.industry_concentration(rows, ["area", "yr"], "ind", "wt", "score"))
 
 
 @query(
     "d8_herfindahl_counts",
     f"""WITH {FACTS_JOB}, c AS (SELECT area, yr, occ, count(*) AS n FROM persons WHERE occ <> 'PROMO' GROUP BY area, yr, occ),
     s AS (SELECT *, n / sum(n) OVER (PARTITION BY area, yr) AS share, sum(n) OVER (PARTITION BY area, yr) AS total FROM c)
-    SELECT area, yr, {R('sum(share * share)', 'hh')} FROM s WHERE total > 70 GROUP BY area, yr""",
+    SELECT area, yr, {R('sum(share * share)', 'hh', 9)} FROM s WHERE total > 70 GROUP BY area, yr""",
 )
 def d8_counts(spark, sf):
-    return rounded(concentration.count_concentration(facts_job(spark, sf), ["area", "yr"], "occ", 70, ["PROMO"]), "hh")
+    return rounded(concentration.count_concentration(facts_job(spark, sf), ["area", "yr"], "occ", 70, ["PROMO"]), "hh", digits=9)
 
 
 OCC_SCORED = f"""{FACTS_JOB}, os AS (SELECT occ, avg(score) AS x FROM persons GROUP BY occ),
@@ -271,11 +280,11 @@ def d9_changes(spark, sf):
     b AS (SELECT ind, CAST(len(list_filter(cuts, lambda c: c <= x)) AS BIGINT) AS bin FROM e, q),
     s AS (SELECT area, yr, bin, sum(wt) AS emp FROM k JOIN b USING (ind) GROUP BY area, yr, bin),
     h AS (SELECT area, yr, bin, emp / sum(emp) OVER (PARTITION BY area, yr) AS share FROM s)
-    SELECT area, yr, bin, {R('share', 'share')}, {R('share - lag(share) OVER (PARTITION BY area, bin ORDER BY yr)', 'del_share')} FROM h""",
+    SELECT area, yr, bin, {R('share', 'share', 9)}, {R('share - lag(share) OVER (PARTITION BY area, bin ORDER BY yr)', 'del_share', 9)} FROM h""",
 )
 def d10(spark, sf):
     rows = decomposition.industry_share_changes(facts_job(spark, sf), ["area"], "yr", "ind", "score", "wt")
-    return rounded(rows.select("area", "yr", "bin", "share", "del_share"), "share", "del_share")
+    return rounded(rows.select("area", "yr", "bin", "share", "del_share"), "share", "del_share", digits=9)
 
 
 @query(
@@ -366,7 +375,7 @@ RATES = f"""{FACTS_STATE}, v AS (SELECT state, area, CAST(floor(yr / 2) * 2 AS B
   rates AS (SELECT area, period, avg(ret) AS rate FROM v GROUP BY area, period),
   pre AS (SELECT area, rate AS pre FROM rates WHERE period = 1994),
   ex AS (SELECT area, avg(score) AS x FROM v GROUP BY area),
-  w AS (SELECT v.*, pre, x > (SELECT median(x) FROM ex) AS above FROM v JOIN pre USING (area) JOIN ex USING (area))"""
+  w AS (SELECT v.*, pre, x > (SELECT median(x) FROM ex) * (1 + 1e-12::DOUBLE) AS above FROM v JOIN pre USING (area) JOIN ex USING (area))"""
 
 
 def did_rows(spark, sf):

@@ -149,9 +149,9 @@ def w14(spark, sf):
     return rounded(rows.select("area", "yr", "exp_1995", "exp_1990"), "exp_1995", "exp_1990")
 
 
-@query("w15_mean_centre", f"WITH {PANEL} SELECT area, yr, {R('w - avg(w) OVER ()', 'w_c')} FROM panel")
+@query("w15_mean_centre", f"WITH {PANEL} SELECT area, yr, {R('w - avg(w) OVER ()', 'w_c', 4)} FROM panel")
 def w15(spark, sf):
-    return rounded(sc.centre(area_panel(spark, sf), w_c="w").select("area", "yr", "w_c"), "w_c")
+    return rounded(sc.centre(area_panel(spark, sf), w_c="w").select("area", "yr", "w_c"), "w_c", digits=4)
 
 
 @query(
