@@ -10,7 +10,7 @@ from panelmill.catalog.registry import (
     jobs, query, r, rounded, table,
 )
 from panelmill.functions.codes import ladder, open_range_mean, period_start
-from panelmill.functions.safe import flag, ratio
+from panelmill.functions.safe import flag, ln, ratio
 from panelmill.functions.weighted import wcount, wmean, wshare
 from panelmill.models.design import design
 from panelmill.models.linear import fit_linear
@@ -189,11 +189,12 @@ def _hh_sql(where: str) -> str:
     return f"""WITH {FACTS_JOB}, c AS (SELECT area, yr, ind, sum(wt) AS emp, sum(wt * score) / sum(wt) AS score FROM persons {where} GROUP BY area, yr, ind),
     s AS (SELECT *, emp / sum(emp) OVER (PARTITION BY area, yr) AS share FROM c),
     h AS (SELECT area, yr, sum(share * share) AS hh, sum(emp * score) / sum(emp) AS score FROM s WHERE emp > 0 GROUP BY area, yr)
-    SELECT area, yr, {R('hh', 'hh', 9)}, {R('score', 'score', 12)}, score > (SELECT median(score) FROM h) * (1 + 1e-12::DOUBLE) AS above FROM h"""
+    SELECT area, yr, {R('hh', 'hh', 9)}, {R('ln(score)', 'log_score', 9)}, score > (SELECT median(score) FROM h) * (1 + 1e-12::DOUBLE) AS above FROM h"""
 
 
 def _hh_rounded(index):
-    return rounded(rounded(index, "hh", digits=9), "score", digits=12)
+    # The log has no short decimal expansion, so rounding never meets a tie.
+    return index.select("area", "yr", r("hh", 9).alias("hh"), r(ln("score"), 9).alias("log_score"), "above")
 
 
 @query("d8_herfindahl", _hh_sql(""))
