@@ -76,7 +76,7 @@ def a8(spark, sf):
 
 @query("a9_variance", f"WITH {PANEL} SELECT {R('var_samp(exp)', 'v_exp', 9)}, {R('var_samp(frac_col)', 'v_col', 9)} FROM panel WHERE yr = 1995")
 def a9(spark, sf):
-    panel = area_panel(spark, sf).where("yr = 1995")
+    panel = area_panel(spark, sf, [1995])
     return panel.agg(r(F.var_samp("exp"), 9).alias("v_exp"), r(F.var_samp("frac_col"), 9).alias("v_col"))
 
 

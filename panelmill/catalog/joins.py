@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelmill.catalog.registry import (
-    FACTS, FACTS_FLOW, PANEL, R, Rs, area_panel, facts, facts_flow, query, r, rounded, table,
+    FACTS, FACTS_FLOW, PANEL, R, Rs, area_panel, facts, facts_flow, in_years, query, r, rounded, table,
 )
 from panelmill.functions.codes import range_mean
 from panelmill.functions.safe import ratio
@@ -76,7 +76,7 @@ def j3(spark, sf):
     WHERE year(o_orderdate) = 1995 GROUP BY o_custkey) ON c_custkey = o_custkey""",
 )
 def j4(spark, sf):
-    n = table(spark, sf, "orders").where(F.year("o_orderdate") == 1995).groupBy(F.col("o_custkey").alias("c_custkey"))
+    n = table(spark, sf, "orders").where(in_years("o_orderdate", [1995])).groupBy(F.col("o_custkey").alias("c_custkey"))
     return ops.merge(table(spark, sf, "customer").select("c_custkey"), n.agg(F.count(F.lit(1)).alias("n")), ["c_custkey"], "left")
 
 
@@ -131,7 +131,7 @@ def j8(spark, sf):
     (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND year(o_orderdate) = 1995)""",
 )
 def j9(spark, sf):
-    seen = table(spark, sf, "orders").where(F.year("o_orderdate") == 1995).select(F.col("o_custkey").alias("c_custkey"))
+    seen = table(spark, sf, "orders").where(in_years("o_orderdate", [1995])).select(F.col("o_custkey").alias("c_custkey"))
     return ops.non_members(table(spark, sf, "customer").select("c_custkey"), seen, ["c_custkey"])
 
 
@@ -191,7 +191,7 @@ def j13(spark, sf):
     LEFT JOIN (SELECT area AS adj, emp FROM panel WHERE yr = 1995) USING (adj)""",
 )
 def j14(spark, sf):
-    size = area_panel(spark, sf).where("yr = 1995").select(F.col("area").alias("adj"), "emp")
+    size = area_panel(spark, sf, [1995]).select(F.col("area").alias("adj"), "emp")
     return rounded(ops.merge(edges(spark, sf), size, ["adj"], "left"), "emp")
 
 
@@ -312,7 +312,7 @@ def r2(spark, sf):
     FROM panel WHERE yr IN (1995, 2001) GROUP BY area""",
 )
 def r3(spark, sf):
-    panel = area_panel(spark, sf).where(F.col("yr").isin(1995, 2001))
+    panel = area_panel(spark, sf, [1995, 2001])
     wide = widen(panel, ["area"], "yr", [1995, 2001], ["exp", "w"])
     return rounded(wide, "exp_1995", "exp_2001", "w_1995", "w_2001")
 

@@ -22,6 +22,8 @@ from panelmill.plans import cohorts, concentration, decomposition, degrees, did,
 from panelmill.plans.regressions import fit_many, growth_models
 from panelmill.sources.tables import literal_table, year_bins
 
+ENDS = (1995, 2001)
+
 
 @query(
     "entry_wage_response",
@@ -31,7 +33,7 @@ from panelmill.sources.tables import literal_table, year_bins
     {R('lead(ln(w)) OVER (PARTITION BY area ORDER BY yr) - ln(w)', 'del_w')} FROM panel""",
 )
 def entry_wage_response(spark, sf):
-    working = facts(spark, sf).where(F.col("emp") & F.col("yr").isin(1995, 2001))
+    working = facts(spark, sf, ENDS).where("emp")
     panel = panels.weighted_panel(working, ["area", "yr"], "wt", {"exp": "score", "w": "wage"}, counts={"emp": None})
     out = panels.wage_response(panel, ["area"], "yr", "w", "exp").select("area", "yr", "exp", "w", "emp", "del_w")
     return rounded(out, "exp", "w", "emp", "del_w")
@@ -49,7 +51,7 @@ def entry_wage_response(spark, sf):
     SELECT 'exp' AS term, {R('sxy / sxx', 'estimate')}, {R('sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx)', 'std_error')} FROM d""",
 )
 def entry_wage_slope(spark, sf):
-    working = facts(spark, sf).where(F.col("emp") & F.col("yr").isin(1995, 2001))
+    working = facts(spark, sf, ENDS).where("emp")
     panel = panels.weighted_panel(working, ["area", "yr"], "wt", {"exp": "score", "w": "wage"}, counts={"emp": None})
     panel = panels.wage_response(panel, ["area"], "yr", "w", "exp")
     table_ = fit_linear(panel, design("del_w", "exp", weight="emp")).coefficients(terms=["exp"])
@@ -166,7 +168,7 @@ def d5(spark, sf):
 )
 def d6(spark, sf):
     names = {"growth": "emp", "exp_growth": "exp", "w_growth": "w", "col_growth": "frac_col"}
-    rows = panels.long_difference(area_panel(spark, sf), ["area"], "yr", [1995, 2001], **names)
+    rows = panels.long_difference(area_panel(spark, sf, ENDS), ["area"], "yr", [1995, 2001], **names)
     return rounded(rows.select("area", "yr", *names), *names)
 
 
@@ -181,7 +183,7 @@ def d6(spark, sf):
     SELECT area, yr, {R('sum(growth * share)', 'shocks')} FROM g JOIN s USING (ind, area) GROUP BY area, yr HAVING coalesce(sum(growth * share), 0) <> 0""",
 )
 def d7(spark, sf):
-    rows = facts_job(spark, sf).where(F.col("yr").isin(1995, 2001))
+    rows = facts_job(spark, sf, ENDS)
     return rounded(shocks.shift_share(rows, ["area"], "ind", "yr", "wt", 1995), "shocks")
 
 
@@ -538,7 +540,7 @@ def metrics(spark, sf):
     totals = part_jobs.groupBy("ind").agg(F.count(F.lit(1)).alias("all"))
     weights = weights.join(totals, "ind").withColumn("frac", ratio("n", "all"))
     alt = exposure.share_scores(weights, "ind", "major", "frac", ["ECONOMY", "PROMO"], "exp_alt")
-    persons = facts_job(spark, sf).where(F.col("yr").isin(1995, 2001)).join(alt, "ind")
+    persons = facts_job(spark, sf, ENDS).join(alt, "ind")
     return panels.two_period_metrics(
         persons, ["area", "yr"], "wt", "wage", {"exp": "score", "exp_alt": "exp_alt"}, F.col("coll"), F.col("emp"), F.col("disc") <= 0.03
     )
@@ -572,7 +574,7 @@ def d22(spark, sf):
     {R('lead(ln(score)) OVER (PARTITION BY area, youth ORDER BY yr) - ln(score)', 'del_score')} FROM p WINDOW a AS (PARTITION BY area, yr)""",
 )
 def d23(spark, sf):
-    rows = facts(spark, sf).where(F.col("yr").isin(1995, 2001))
+    rows = facts(spark, sf, ENDS)
     out = panels.age_panel(rows, ["area"], "yr", F.col("disc") <= 0.03, "score", "wt", {"frac_emp": F.col("emp")})
     return rounded(out, "score", "pop", "frac_emp", "area_score", "area_pop", "del_score")
 
@@ -585,7 +587,7 @@ def d23(spark, sf):
     {R('lead(ln(num)) OVER (PARTITION BY area, ind ORDER BY yr) - ln(num)', 'del_emp')} FROM c WINDOW y AS (PARTITION BY yr)""",
 )
 def d24(spark, sf):
-    rows = facts_job(spark, sf).where(F.col("emp") & F.col("yr").isin(1995, 2001))
+    rows = facts_job(spark, sf, ENDS).where("emp")
     cells = panels.industry_cells(rows, ["area"], "yr", "ind", "score", "wage", F.col("coll"), "wt")
     return rounded(cells.select("yr", "area", "ind", "col_int", "num", "del_emp"), "num", "del_emp")
 
@@ -601,9 +603,9 @@ def growth_family(spark, sf):
         measures, edges(spark, sf), ["area"], ["adj"], "kind", "num", "pop", distinct_sizes=False, complete=False
     ).where(F.col("kind").isNotNull())
     panel = panels.long_difference(
-        area_panel(spark, sf), ["area"], "yr", [1995, 2001], growth="emp", exp_growth="exp", w_growth="w", col_growth="frac_col"
+        area_panel(spark, sf, ENDS), ["area"], "yr", [1995, 2001], growth="emp", exp_growth="exp", w_growth="w", col_growth="frac_col"
     )
-    shock = shocks.shift_share(facts_job(spark, sf).where(F.col("yr").isin(1995, 2001)), ["area"], "ind", "yr", "wt", 1995)
+    shock = shocks.shift_share(facts_job(spark, sf, ENDS), ["area"], "ind", "yr", "wt", 1995)
     rows = panel.where("yr = 1995").join(near, "area").join(shock.drop("yr"), "area")
     return fit_many(rows, growth_models("num_per_pop", "pop_adj", ["shocks"]))
 

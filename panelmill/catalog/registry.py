@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date
+from functools import reduce
 from importlib import import_module
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,9 +36,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def facts(spark: SparkSession, folder: str) -> DataFrame:
+def in_years(when: str, years: Sequence[int]) -> Column:
+    """Date ranges rather than ``year(...)``, so that the scan can skip row groups."""
+    ranges = [
+        (F.col(when) >= F.lit(date(y, 1, 1))) & (F.col(when) < F.lit(date(y + 1, 1, 1))) for y in years
+    ]
+    return reduce(Column.__or__, ranges)
+
+
+def facts(spark: SparkSession, folder: str, years: Sequence[int] = ()) -> DataFrame:
     """Order lines in the role of weighted person rows; unread columns are pruned at the scan."""
-    return table(spark, folder, "lineitem").select(
+    lines = table(spark, folder, "lineitem")
+    if years:
+        lines = lines.where(in_years("l_shipdate", years))
+    return lines.select(
         F.col("l_suppkey").alias("area"), F.year("l_shipdate").cast("long").alias("yr"),
         F.col("l_quantity").alias("wt"), F.col("l_extendedprice").alias("wage"), F.col("l_tax").alias("score"),
         F.col("l_discount").alias("disc"), (F.col("l_discount") >= 0.05).alias("coll"),
@@ -66,22 +79,22 @@ def origins(spark: SparkSession, folder: str) -> DataFrame:
     return orders.join(customers, "c_custkey").drop("c_custkey")
 
 
-def facts_state(spark, folder) -> DataFrame:
-    return facts(spark, folder).join(areas(spark, folder), "area")
+def facts_state(spark, folder, years: Sequence[int] = ()) -> DataFrame:
+    return facts(spark, folder, years).join(areas(spark, folder), "area")
 
 
-def facts_job(spark, folder) -> DataFrame:
-    return facts(spark, folder).join(jobs(spark, folder), "part_id")
+def facts_job(spark, folder, years: Sequence[int] = ()) -> DataFrame:
+    return facts(spark, folder, years).join(jobs(spark, folder), "part_id")
 
 
 def facts_flow(spark, folder) -> DataFrame:
     return facts_state(spark, folder).join(origins(spark, folder), "order_id")
 
 
-def area_panel(spark, folder) -> DataFrame:
+def area_panel(spark, folder, years: Sequence[int] = ()) -> DataFrame:
     """(area, yr, exp, w, frac_col, emp): one row per area and year."""
     return weighted_panel(
-        facts(spark, folder), ["area", "yr"], "wt", {"exp": "score", "w": "wage"}, {"frac_col": F.col("coll")}, {"emp": None}
+        facts(spark, folder, years), ["area", "yr"], "wt", {"exp": "score", "w": "wage"}, {"frac_col": F.col("coll")}, {"emp": None}
     )
 
 

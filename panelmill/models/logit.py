@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +21,7 @@ from panelmill.models.design import (
     ALL, Design, dense_columns, factor_columns, key_names, level_index, linear_predictor, prepared, term_column,
 )
 from panelmill.models.linear import NUMBERS
-from panelmill.models.moments import cluster_meat, full_moments, moment_cells
+from panelmill.models.moments import cluster_meat, full_block, full_moments, moment_cells
 from panelmill.operators.joins import null_safe_merge
 from panelmill.session import staged
 
@@ -145,10 +146,9 @@ def fit_logit(
         deviance = _deviance(s, n, mu)
         cells = moment_cells(scored, d, keys, dense, n * mu * (1 - mu), [gap * x for x in dense], deviance, n)
         active = 0
-        for row in full_moments(cells, d, keys).collect():
-            g = groups[tuple(row[k] for k in keys)]
-            active += not g.converged
-            _newton(g, np.asarray(row["m"], dtype=float).reshape(size + 1, size + 1), row["n"], step, eps)
+        for key, full, n_rows in _collected(cells, d, keys):
+            active += not groups[key].converged
+            _newton(groups[key], full, n_rows, step, eps)
         if active == 0 or all(g.converged for g in groups.values()):
             break
     reach = _scored(rows, spark, groups, key_fields, by, d).groupBy(*keys).agg(F.max(F.abs("__eta")).alias("r"))
@@ -164,6 +164,17 @@ def fit_logit(
     return LogitFit(spark, d, tuple(by), key_fields, groups)
 
 
+def _collected(cells: DataFrame, d: Design, keys: list[str]):
+    """(key, full matrix, row count) per group; without factors a group is one row already."""
+    size = len(d.names) + 1
+    if d.factors:
+        for row in full_moments(cells, d, keys).collect():
+            yield tuple(row[k] for k in keys), np.asarray(row["m"], dtype=float).reshape(size, size), row["n"]
+        return
+    for row in cells.collect():
+        yield tuple(row[k] for k in keys), full_block(pd.DataFrame({"m": [row["m"]]}), d), row["n"]
+
+
 def _scored(rows, spark, groups, key_fields, by, d) -> DataFrame:
     scored = _with_beta(rows, spark, groups, key_fields, by).withColumn("__eta", linear_predictor(d, F.col("__beta")))
     return scored.withColumn("__mu", 1.0 / (1.0 + F.exp(-F.col("__eta"))))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.functions.safe import ratio, strict
+from panelmill.session import reused
 
 
 def allocate(
@@ -26,7 +27,7 @@ def allocate(
     fills a window partition nor multiplies raw rows.
     """
     per_unit = measures.groupBy(unit, *detail).agg(F.sum(value).alias("__sum"), F.count(F.lit(1)).alias("__rows"))
-    per_area = unit_areas.groupBy(unit, *areas).agg(F.count(F.lit(1)).alias("__times"))
+    per_area = reused(unit_areas.groupBy(unit, *areas).agg(F.count(F.lit(1)).alias("__times")))
     fan_out = per_area.groupBy(unit).agg(F.sum("__times").alias("__fan"))
     spread = per_unit.join(fan_out, unit).join(per_area, unit)
     part = ratio(F.col("__sum") * F.col("__times"), F.col("__rows") * F.col("__fan"))
@@ -51,7 +52,7 @@ def neighbour_totals(
     null when a neighbour has no measure.
     """
     renamed = measures.select(*[F.col(a).alias(n) for a, n in zip(area, neighbour)], kind, value, size)
-    joined = edges.join(renamed, list(neighbour), "left")
+    joined = edges.join(reused(renamed), list(neighbour), "left")
     total = (lambda c: strict(F.sum, c)) if complete else F.sum
     by_kind = joined.groupBy(*area, kind).agg(total(F.col(value)).alias(f"{value}_adj"))
     one_each = joined.select(*area, *([] if distinct_sizes else neighbour), size).distinct()

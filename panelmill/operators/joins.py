@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelmill.functions.safe import ratio
+from panelmill.session import reused
 
 
 def merge(
@@ -82,7 +83,7 @@ def crosswalk_scores(
     Codes present on both sides match exactly. What is left on either side is matched again on the
     code's leading characters, with the mean score of the left-over codes sharing them.
     """
-    scores = scores.groupBy(code).agg(F.avg(score).alias(score))
+    scores = reused(scores.groupBy(code).agg(F.avg(score).alias(score)))
     links = links.where(F.col(code).isNotNull() & F.col(target).isNotNull()).select(code, target)
     exact = scores.join(links, code).select(target, score)
     coarse = prefix_key(F.col(code), length).alias(code)

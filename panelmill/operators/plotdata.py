@@ -14,9 +14,11 @@ from panelmill.functions.safe import ratio
 from panelmill.operators.joins import null_safe_merge
 from panelmill.operators.quantiles import exact_quantiles
 from panelmill.operators.scaling import share_of_total
+from panelmill.session import reused
 
 
 def _with_box(df: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
+    df = reused(df)
     box = exact_quantiles(df, x, [0.25, 0.5, 0.75], by)
     q = F.col("quantiles")
     reach = 1.5 * (q[2] - q[0])
@@ -64,6 +66,7 @@ def density(df: DataFrame, x: str, by: Sequence[str], points: int = 512) -> Data
     Each value is shared between its two neighbouring grid points, so rows shrink to at most
     ``points`` masses per class in one aggregation; the kernel is then summed over the masses.
     """
+    df = reused(df)
     rows = df.select(*by, F.col(x).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     span = rows.agg(F.min("__v").alias("lo"), F.max("__v").alias("hi")).select(F.struct("lo", "hi")).scalar()
     step = (span["hi"] - span["lo"]) / (points - 1)
@@ -104,6 +107,7 @@ def scatter(df: DataFrame, x: str, y: str, **roles: str) -> DataFrame:
 
 def histogram(df: DataFrame, x: str, width: float, by: Sequence[str] = ()) -> DataFrame:
     """(by..., bin, n, share): bins start at the overall minimum; shares are of the class total."""
+    df = reused(df)
     low = df.agg(F.min(x)).scalar()
     cells = df.where(F.col(x).isNotNull()).groupBy(*by, F.floor((F.col(x) - low) / width).cast("long").alias("bin"))
     return share_of_total(cells.agg(F.count(F.lit(1)).alias("n")), "n", by, "share")
@@ -122,6 +126,7 @@ def roc_points(df: DataFrame, score: str, label: str, steps: int = 1000, by: Seq
     below = F.greatest(F.lit(0), F.least(near, F.lit(steps + 1))).cast("long")
     pos, neg = F.count(F.when(F.col(label) == 1, F.lit(1))), F.count(F.when(F.col(label) == 0, F.lit(1)))
     counts = df.where(s.isNotNull()).groupBy(*by, below.alias("k")).agg(pos.alias("p"), neg.alias("q"))
+    counts = reused(counts)
     totals = counts.groupBy(*by).agg(F.sum("p").alias("__p"), F.sum("q").alias("__q"))
     # An entry for every cut-off index, so that each group has all steps + 1 of them.
     cut_offs = F.sequence(F.lit(0).cast("long"), F.lit(steps + 1).cast("long"))

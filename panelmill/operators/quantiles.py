@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelmill.operators.joins import null_safe_merge
-from panelmill.session import is_small
+from panelmill.session import is_small, reused
 
 
 def exact_quantiles(
@@ -43,7 +43,7 @@ def _ranked_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequenc
     keys = by or ["__all"]
     if not by:
         keyed = keyed.withColumn("__all", F.lit(1))
-    cells = keyed.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n"))
+    cells = reused(keyed.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n")), "values")
 
     # Up to `slots` pseudo-random distinct values per group cut it into near-equal ranges. The draw
     # depends on the values alone, so any re-run yields the same cuts.
@@ -126,6 +126,7 @@ def quantile_bins(
     clamp_top: bool = False,
 ) -> DataFrame:
     """Number the quantile bin of each row; with ``where`` only those rows are cut and numbered."""
+    df = reused(df)
     sample = df if where is None else df.where(where)
     cut = exact_quantiles(sample, x, [i / bins for i in range(bins + 1)], by)
     if by:

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from panelmill.functions.safe import as_col, ratio
 from panelmill.operators.joins import null_safe_merge
 from panelmill.operators.quantiles import exact_quantiles, rounding_slack
+from panelmill.session import reused
 
 
 def attach_stats(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
     """Add grouped aggregates as columns (of the whole frame when ``by`` is empty)."""
+    df = reused(df)
     named = [agg.alias(name) for name, agg in stats.items()]
     if by:
         return null_safe_merge(df, df.groupBy(*by).agg(*named), by, "inner")
@@ -54,6 +56,7 @@ def centre(df: DataFrame, by: Sequence[str] = (), **out: str) -> DataFrame:
 
 def attach_quantile(df: DataFrame, x: str, q: float, out: str, by: Sequence[str] = ()) -> DataFrame:
     """The group's ``q`` quantile of ``x`` beside each row."""
+    df = reused(df)
     cut = exact_quantiles(df, x, [q], by).withColumn(out, F.col("quantiles")[0]).drop("quantiles")
     if by:
         return null_safe_merge(df, cut, by, "inner")

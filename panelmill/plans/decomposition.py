@@ -13,6 +13,7 @@ from panelmill.functions.weighted import wmean
 from panelmill.operators.panel import change_prev
 from panelmill.operators.quantiles import quantile_bins
 from panelmill.operators.scaling import attach_stats
+from panelmill.session import reused
 
 
 def between_within(
@@ -23,7 +24,7 @@ def between_within(
     ``between`` gives each local industry its national occupation mix; ``within`` is the deviation
     of the local mix. All totals derive from one table of cells.
     """
-    cells = persons.groupBy(*area, time, industry, occupation, score).agg(F.sum(weight).alias("own"))
+    cells = reused(persons.groupBy(*area, time, industry, occupation, score).agg(F.sum(weight).alias("own")))
     mix = cells.groupBy(industry, time, occupation).agg(F.sum("own").alias("__io"))
     mix = mix.withColumn("share", ratio("__io", F.sum("__io").over(Window.partitionBy(industry, time)))).drop("__io")
     cells = cells.join(mix, [industry, time, occupation])
@@ -56,6 +57,7 @@ def industry_share_changes(
     cells = persons.where(F.col(score) != 0).groupBy(*area, time, industry).agg(
         F.sum(weight).alias("emp"), F.sum(F.col(weight) * F.col(score)).alias("scored")
     )
+    cells = reused(cells)
     exposure = cells.groupBy(industry).agg(ratio(F.sum("scored"), F.sum("emp")).alias("exposure"))
     binned = quantile_bins(exposure, "exposure", bins, "bin").select(industry, "bin")
     by_bin = cells.join(binned, industry).groupBy(*area, time, "bin").agg(F.sum("emp").alias("emp"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelmill.functions.safe import ln1p, ratio
 from panelmill.operators.panel import change_next
+from panelmill.session import reused
 
 
 def degree_counts(rows: DataFrame, unit: Sequence[str], year: str, num: str, kinds: dict[str, Column]) -> DataFrame:
@@ -40,5 +41,6 @@ def cumulated_logs(counts: DataFrame, area: Sequence[str], year: str, base: int,
 def yearly_logs(counts: DataFrame, area: Sequence[str], year: str, base: int, kinds: Sequence[str]) -> DataFrame:
     """Log count per area and year with the base year's log count beside it."""
     yearly = counts.groupBy(*area, year).agg(*[ln1p(F.sum(k)).alias(k) for k in kinds])
+    yearly = reused(yearly)
     first = yearly.where(F.col(year) == base).select(*area, *[F.col(k).alias(f"{k}_base") for k in kinds])
     return yearly.join(first, list(area))

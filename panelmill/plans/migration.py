@@ -14,6 +14,7 @@ from panelmill.models.logit import LogitFit, fit_logit
 from panelmill.operators.joins import with_role
 from panelmill.operators.panel import attach_base, log_change_prev
 from panelmill.operators.scaling import above_quantile, share_of_total, zscore
+from panelmill.session import reused
 
 
 def net_migration(
@@ -27,6 +28,7 @@ def net_migration(
     flows = persons.where(F.col(dest).isNotNull() & F.col(origin).isNotNull()).groupBy(time, dest, origin).agg(
         F.sum(moved).alias("moved"), F.sum(weight).alias("num"), wmean(score, weight).alias("score")
     )
+    flows = reused(flows)
     out = flows.groupBy(time, F.col(origin).alias("place")).agg(F.sum("moved").alias("outflow"))
     into = flows.groupBy(time, F.col(dest).alias("place")).agg(
         F.sum("moved").alias("inflow"), wmean("score", "num").alias("score"), F.sum("num").alias("num")
@@ -56,6 +58,7 @@ def hub_flows(
     movers = persons.where(F.col(dest) != F.col(origin))
     if where is not None:
         movers = movers.where(where)
+    classes = reused(classes)
     # Cells first: the two class joins then run over places and periods, not over persons.
     cells = movers.groupBy(time, dest, origin, *extra).agg(F.sum(weight).alias("weight"))
     sink = with_role(classes, area, dest, sink="hub", **{time: time})

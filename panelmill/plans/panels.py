@@ -15,6 +15,7 @@ from panelmill.operators.panel import change_prev, log_change_next
 from panelmill.operators.quantiles import quantile_bins
 from panelmill.operators.reshape import widen
 from panelmill.operators.scaling import above_median, centre, scale_by_sd
+from panelmill.session import reused
 
 
 def weighted_panel(
@@ -64,6 +65,7 @@ def quartile_changes(
     panel: DataFrame, entity: str, time: str, base: int, exposure: str, wage: str, bins: int = 4
 ) -> DataFrame:
     """Change in log wage and in exposure since the base year, with the base-year exposure quartile."""
+    panel = reused(panel)
     first = panel.where(F.col(time) == base).select(
         entity, F.col(wage).alias("wage_base"), F.col(exposure).alias("exposure_base")
     )

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from panelmill.functions.safe import ratio
 from panelmill.operators.panel import attach_base, growth_prev
-from panelmill.operators.scaling import attach_stats
+from panelmill.session import reused
 
 
 def shift_share(
@@ -21,12 +21,12 @@ def shift_share(
     Persons are reduced to (time, area, industry) cells at once. National totals come from the
     industry totals, a table of industries and years, never from a window over all cells.
     """
-    cells = persons.groupBy(time, *area, industry).agg(F.sum(weight).alias("emp"))
+    cells = reused(persons.groupBy(time, *area, industry).agg(F.sum(weight).alias("emp")))
     national = cells.groupBy(time, industry).agg(F.sum("emp").alias("ind_emp"))
     national = national.withColumn("all_emp", F.sum("ind_emp").over(Window.partitionBy(time)))
-    cells = cells.join(national, [time, industry])
-    cells = attach_stats(cells, [time, *area], {"area_emp": F.sum("emp")})
-    cells = cells.withColumns({
+    # One area's industries per window partition; the join stays a join of two small keys.
+    cells = cells.withColumn("area_emp", F.sum("emp").over(Window.partitionBy(time, *area)))
+    cells = cells.join(national, [time, industry]).withColumns({
         "loo": ratio(F.col("ind_emp") - F.col("emp"), "all_emp"), "local_share": ratio("emp", "area_emp"),
     })
     entity = [industry, *area]

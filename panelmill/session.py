@@ -36,9 +36,31 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
+def is_small(df: DataFrame) -> bool:
     """True when everything the plan reads is small; unknown sizes count as large."""
-    return input_bytes(df) <= limit
+    return input_bytes(df) <= SMALL_BYTES
+
+
+def _is_reduced(plan) -> bool:
+    """Every large input of the plan has passed an aggregation."""
+    if plan.nodeName() in ("Aggregate", "Distinct", "Deduplicate"):
+        return True
+    children = plan.children()
+    if children.size() == 0:
+        return int(str(plan.stats().sizeInBytes())) <= SMALL_BYTES
+    return all(_is_reduced(children.apply(i)) for i in range(children.size()))
+
+
+def reused(df: DataFrame, label: str = "reused") -> DataFrame:
+    """For a frame about to be read more than once.
+
+    When it aggregates large input, the aggregate is staged, so that the input is read once and all
+    readers see the very same numbers. Small input is cheaper to read again, and so is a frame that
+    is no reduction of what it reads.
+    """
+    if is_small(df) or not _is_reduced(df._jdf.queryExecution().optimizedPlan()):
+        return df
+    return staged(df, label)
 
 
 def shared_folder(spark: SparkSession) -> str:
