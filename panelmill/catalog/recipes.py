@@ -20,6 +20,7 @@ from panelmill.operators.quantiles import quantile_bins
 from panelmill.operators.scaling import above_median, share_of_total
 from panelmill.plans import cohorts, concentration, decomposition, degrees, did, exposure, migration, panels, shocks
 from panelmill.plans.regressions import fit_many, growth_models
+from panelmill.session import measured
 from panelmill.sources.tables import literal_table, year_bins
 
 ENDS = (1995, 2001)
@@ -248,7 +249,7 @@ OCC_SCORED = f"""{FACTS_JOB}, os AS (SELECT occ, avg(score) AS x FROM persons GR
 def occ_scored(spark, sf):
     """Persons whose score is the mean of their occupation."""
     rows = facts_job(spark, sf)
-    means = rows.groupBy("occ").agg(F.avg("score").alias("x"))
+    means = measured(rows.groupBy("occ").agg(F.avg("score").alias("x")))
     return rows.drop("score").join(means, "occ")
 
 

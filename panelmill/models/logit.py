@@ -27,6 +27,8 @@ from panelmill.session import staged
 
 # Coefficient tables up to this many numbers are broadcast to the rows.
 BROADCAST_NUMBERS = 1_000_000
+# Coefficients of every group are kept on the driver between steps.
+MAX_GROUPS = 10_000
 
 
 @dataclass
@@ -136,7 +138,9 @@ def fit_logit(
     rows = staged(rows, "logit")
     key_fields = [f for f in rows.schema.fields if f.name in keys]
     size = len(d.names)
-    found = rows.select(*keys).distinct().collect()
+    found = rows.select(*keys).distinct().limit(MAX_GROUPS + 1).collect()
+    if len(found) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups to fit at once")
     groups = {tuple(r): GroupFit(np.zeros(size)) for r in found}
     dense = dense_columns(d)
     for step in range(1, max_iter + 1):

@@ -90,16 +90,12 @@ def full_moments(cells: DataFrame, d: Design, keys: Sequence[str]) -> DataFrame:
 
 
 def sum_blocks(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the partial matrices of each group: at most one per task, each of coefficient size."""
-    keys = list(keys)
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf[keys].head(1).copy()
-        row["m"] = [np.sum([np.asarray(v, dtype=float) for v in pdf["m"]], axis=0)]
-        row["n"] = float(pdf["n"].sum())
-        return row
-
-    return blocks.groupBy(*keys).applyInPandas(add, blocks.schema)
+    """Add the partial matrices of each group entry by entry, so that no task holds many of them."""
+    entries = blocks.select(*keys, F.posexplode(F.concat("m", F.array("n"))).alias("at", "v"))
+    sums = entries.groupBy(*keys, "at").agg(F.sum("v").alias("v"))
+    ordered = F.array_sort(F.collect_list(F.struct("at", "v")))
+    whole = sums.groupBy(*keys).agg(F.transform(ordered, lambda e: e["v"]).alias("m"))
+    return whole.select(*keys, F.slice("m", F.lit(1), F.size("m") - 1).alias("m"), F.element_at("m", -1).alias("n"))
 
 
 def cluster_meat(rows: DataFrame, d: Design, keys: Sequence[str], residual: Column, dense: Sequence[Column]) -> DataFrame:

@@ -84,10 +84,14 @@ def crosswalk_scores(
     code's leading characters, with the mean score of the left-over codes sharing them.
     """
     scores = reused(scores.groupBy(code).agg(F.avg(score).alias(score)))
-    links = links.where(F.col(code).isNotNull() & F.col(target).isNotNull()).select(code, target)
-    exact = scores.join(links, code).select(target, score)
+    known = F.col(code).isNotNull() & F.col(target).isNotNull()
+    # Repeated links become one row with their number, which then weighs in the mean.
+    links = reused(links.where(known).groupBy(code, target).agg(F.count(F.lit(1)).alias("__times")))
+    exact = scores.join(links, code).select(target, score, "__times")
     coarse = prefix_key(F.col(code), length).alias(code)
     spare_scores = non_members(scores, links, [code]).groupBy(coarse).agg(F.avg(score).alias(score))
-    spare_links = non_members(links, scores, [code]).select(coarse, target)
-    near = spare_scores.join(spare_links, code).select(target, score)
-    return exact.unionByName(near).where(F.col(score).isNotNull()).groupBy(target).agg(F.avg(score).alias(score))
+    spare_links = non_members(links, scores, [code]).groupBy(coarse, target).agg(F.sum("__times").alias("__times"))
+    near = spare_scores.join(spare_links, code).select(target, score, "__times")
+    both = exact.unionByName(near).where(F.col(score).isNotNull())
+    mean = ratio(F.sum(F.col(score) * F.col("__times")), F.sum("__times"))
+    return both.groupBy(target).agg(mean.alias(score))

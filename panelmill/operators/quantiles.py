@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelmill.operators.joins import null_safe_merge
-from panelmill.session import is_small, reused
+from panelmill.session import is_small, measured, reused
 
 
 def exact_quantiles(
@@ -50,13 +50,14 @@ def _ranked_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequenc
     draw = cells.groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(slots)).alias("__slot")).agg(
         F.min_by(value, F.xxhash64(value, F.lit(1))).alias("__cut")
     )
-    cuts = draw.groupBy(*keys).agg(F.sort_array(F.collect_list("__cut")).alias("__cuts"))
-    # Binary search of the sorted cuts: halving steps; reading past the end gives null, not a step.
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(slots.bit_length()))])
-    place_of = F.aggregate(
-        steps, F.lit(0), lambda at, step: at + F.when(F.get("__cuts", at + step - 1) <= value, step).otherwise(0)
-    )
-    tagged = null_safe_merge(cells, cuts, keys).select(*keys, "__x", "__n", place_of.alias("__range"))
+    cuts = measured(draw.groupBy(*keys).agg(F.sort_array(F.collect_list("__cut")).alias("__cuts")))
+    # Binary search of the sorted cuts by halving steps; reading past the end gives null, so no step.
+    # One projection per step keeps the search in generated code.
+    tagged = null_safe_merge(cells, cuts, keys).withColumn("__range", F.lit(0))
+    for step in (1 << i for i in reversed(range(slots.bit_length()))):
+        ahead = F.get("__cuts", F.col("__range") + step - 1) <= value
+        tagged = tagged.withColumn("__range", F.col("__range") + F.when(ahead, step).otherwise(0))
+    tagged = tagged.select(*keys, "__x", "__n", "__range")
 
     # At most slots + 1 rows per group from here on.
     upto = Window.partitionBy(*keys).orderBy("__range")
@@ -81,7 +82,7 @@ def _ranked_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequenc
     inside = Window.partitionBy(*keys, "__range").orderBy("__x")
     hit = (F.col("__ask.__rank") >= F.col("__to") - F.col("__n")) & (F.col("__ask.__rank") < F.col("__to"))
     picked = (
-        null_safe_merge(tagged, wanted, [*keys, "__range"])
+        null_safe_merge(tagged, measured(wanted), [*keys, "__range"])
         .withColumn("__to", F.col("__base") + F.sum("__n").over(inside))
         .withColumn("__ask", F.explode("__asks"))
         .where(hit)
@@ -130,7 +131,7 @@ def quantile_bins(
     sample = df if where is None else df.where(where)
     cut = exact_quantiles(sample, x, [i / bins for i in range(bins + 1)], by)
     if by:
-        df = null_safe_merge(df, cut, by, "left")
+        df = null_safe_merge(df, measured(cut), by, "left")
     else:
         df = df.withColumn("quantiles", cut.select("quantiles").scalar())
     value = F.col(x).cast("double")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from panelmill.functions.safe import as_col, ratio
 from panelmill.operators.joins import null_safe_merge
 from panelmill.operators.quantiles import exact_quantiles, rounding_slack
-from panelmill.session import reused
+from panelmill.session import measured, reused
 
 
 def attach_stats(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
@@ -23,7 +23,7 @@ def attach_stats(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column])
     df = reused(df)
     named = [agg.alias(name) for name, agg in stats.items()]
     if by:
-        return null_safe_merge(df, df.groupBy(*by).agg(*named), by, "inner")
+        return null_safe_merge(df, measured(df.groupBy(*by).agg(*named)), by, "inner")
     one = df.agg(*named).select(F.struct(*stats).alias("s")).scalar()
     return df.withColumns({name: one[name] for name in stats})
 
@@ -59,7 +59,7 @@ def attach_quantile(df: DataFrame, x: str, q: float, out: str, by: Sequence[str]
     df = reused(df)
     cut = exact_quantiles(df, x, [q], by).withColumn(out, F.col("quantiles")[0]).drop("quantiles")
     if by:
-        return null_safe_merge(df, cut, by, "inner")
+        return null_safe_merge(df, measured(cut), by, "inner")
     return df.withColumn(out, cut.select(out).scalar())
 
 

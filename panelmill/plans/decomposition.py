@@ -13,7 +13,7 @@ from panelmill.functions.weighted import wmean
 from panelmill.operators.panel import change_prev
 from panelmill.operators.quantiles import quantile_bins
 from panelmill.operators.scaling import attach_stats
-from panelmill.session import reused
+from panelmill.session import measured, reused
 
 
 def between_within(
@@ -27,7 +27,7 @@ def between_within(
     cells = reused(persons.groupBy(*area, time, industry, occupation, score).agg(F.sum(weight).alias("own")))
     mix = cells.groupBy(industry, time, occupation).agg(F.sum("own").alias("__io"))
     mix = mix.withColumn("share", ratio("__io", F.sum("__io").over(Window.partitionBy(industry, time)))).drop("__io")
-    cells = cells.join(mix, [industry, time, occupation])
+    cells = cells.join(measured(mix), [industry, time, occupation])
     # One local industry's occupations per window partition.
     local = F.sum("own").over(Window.partitionBy(*area, time, industry))
     cells = cells.withColumn("expected", F.col("share") * local)
@@ -60,7 +60,7 @@ def industry_share_changes(
     cells = reused(cells)
     exposure = cells.groupBy(industry).agg(ratio(F.sum("scored"), F.sum("emp")).alias("exposure"))
     binned = quantile_bins(exposure, "exposure", bins, "bin").select(industry, "bin")
-    by_bin = cells.join(binned, industry).groupBy(*area, time, "bin").agg(F.sum("emp").alias("emp"))
+    by_bin = cells.join(measured(binned), industry).groupBy(*area, time, "bin").agg(F.sum("emp").alias("emp"))
     by_bin = attach_stats(by_bin, [*area, time], {"all": F.sum("emp")}).withColumn("share", ratio("emp", "all"))
     return change_prev(by_bin, [*area, "bin"], time, {"del_share": "share"}).drop("emp", "all")
 

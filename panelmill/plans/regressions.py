@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from panelmill.models.design import Design, design
 from panelmill.models.linear import fit_linear
 from panelmill.models.logit import fit_logit
+from panelmill.session import reused
 
 
 def fit_many(df: DataFrame, designs: Mapping[str, Design], cluster: str | None = None) -> DataFrame:
     """Coefficient tables of several least-squares models, with a ``model`` column."""
+    df = reused(df)
     tables = [
         fit_linear(df, d, cluster=cluster).coefficients().withColumn("model", F.lit(name)) for name, d in designs.items()
     ]

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from panelmill.functions.safe import ratio
 from panelmill.operators.panel import attach_base, growth_prev
-from panelmill.session import reused
+from panelmill.session import measured, reused
 
 
 def shift_share(
@@ -26,7 +26,7 @@ def shift_share(
     national = national.withColumn("all_emp", F.sum("ind_emp").over(Window.partitionBy(time)))
     # One area's industries per window partition; the join stays a join of two small keys.
     cells = cells.withColumn("area_emp", F.sum("emp").over(Window.partitionBy(time, *area)))
-    cells = cells.join(national, [time, industry]).withColumns({
+    cells = cells.join(measured(national), [time, industry]).withColumns({
         "loo": ratio(F.col("ind_emp") - F.col("emp"), "all_emp"), "local_share": ratio("emp", "area_emp"),
     })
     entity = [industry, *area]

@@ -63,6 +63,15 @@ def reused(df: DataFrame, label: str = "reused") -> DataFrame:
     return staged(df, label)
 
 
+def measured(df: DataFrame, label: str = "measured") -> DataFrame:
+    """For a grouped table that is joined back to large rows.
+
+    Staged, its true size is known when the join is planned: Spark broadcasts it below the session
+    threshold and shuffles both sides otherwise. An estimate made from large input would always shuffle.
+    """
+    return df if is_small(df) else staged(df, label)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's checkpoint directory.
 
