@@ -87,11 +87,11 @@ def crosswalk_scores(
     known = F.col(code).isNotNull() & F.col(target).isNotNull()
     # Repeated links become one row with their number, which then weighs in the mean.
     links = reused(links.where(known).groupBy(code, target).agg(F.count(F.lit(1)).alias("__times")))
-    exact = scores.join(links, code).select(target, score, "__times")
-    coarse = prefix_key(F.col(code), length).alias(code)
-    spare_scores = non_members(scores, links, [code]).groupBy(coarse).agg(F.avg(score).alias(score))
-    spare_links = non_members(links, scores, [code]).groupBy(coarse, target).agg(F.sum("__times").alias("__times"))
-    near = spare_scores.join(spare_links, code).select(target, score, "__times")
-    both = exact.unionByName(near).where(F.col(score).isNotNull())
+    near = prefix_key(F.col(code), length)
+    spare = non_members(scores, links, [code]).groupBy(near.alias("__near")).agg(F.avg(score).alias("__spare"))
+    # One pass over the links: the exact score where there is one, else the left-over score of the prefix.
+    matched = links.join(scores, code, "left").withColumn("__near", F.when(F.col(score).isNull(), near))
+    value = F.coalesce(F.col(score), F.col("__spare"))
+    both = matched.join(spare, "__near", "left").select(target, "__times", value.alias(score))
     mean = ratio(F.sum(F.col(score) * F.col("__times")), F.sum("__times"))
-    return both.groupBy(target).agg(mean.alias(score))
+    return both.where(F.col(score).isNotNull()).groupBy(target).agg(mean.alias(score))
