@@ -11,16 +11,17 @@ from panelmill.catalog.registry import (
 )
 from panelmill.functions.codes import ladder, open_range_mean, period_start
 from panelmill.functions.safe import flag, ln, ratio
-from panelmill.functions.weighted import wcount, wmean, wshare
-from panelmill.models.design import design
+from panelmill.functions.weighted import wmean
+from panelmill.models.design import design, factor_levels
 from panelmill.models.linear import fit_linear
+from panelmill.models.logit import fit_logit
 from panelmill.operators import allocation
 from panelmill.operators.panel import log_change_next
 from panelmill.operators.quantiles import quantile_bins
-from panelmill.operators.scaling import above_median, share_of_total
+from panelmill.operators.scaling import above_median, share_of_total, zscore
 from panelmill.plans import cohorts, concentration, decomposition, degrees, did, exposure, migration, panels, shocks
-from panelmill.plans.regressions import fit_many, growth_models
-from panelmill.session import measured
+from panelmill.plans.regressions import condition_models, degree_models, effect_by_bin, fit_many, growth_models, wage_models
+from panelmill.session import measured, reused
 from panelmill.sources.tables import literal_table, year_bins
 
 ENDS = (1995, 2001)
@@ -613,8 +614,6 @@ def growth_family(spark, sf):
 
 @query("k5_effect_per_bin")
 def effect_per_bin(spark, sf):
-    from panelmill.plans.regressions import effect_by_bin
-
     panel = log_change_next(area_panel(spark, sf), ["area"], "yr", growth="emp")
     binned = quantile_bins(panel, "exp", 4, "bin")
     return effect_by_bin(binned, design("growth", "frac_col", weight="emp"), "bin", 4, "frac_col")
@@ -623,10 +622,6 @@ def effect_per_bin(spark, sf):
 @query("m9_choice_models")
 def choice_models(spark, sf):
     """Clustered logit with factors, z-scored exposure and the area's base rate."""
-    from panelmill.models.design import factor_levels
-    from panelmill.models.logit import fit_logit
-    from panelmill.operators.scaling import zscore
-
     rows = facts_state(spark, sf).withColumn("ret", flag(F.col("flag") == "R")).withColumn("period", period_start("yr", 2))
     rates = did.base_rates(rows, ["area"], "period", "ret")
     conditions = zscore(area_panel(spark, sf).where("yr = 1995").select("area", "exp", "frac_col"), exp_norm="exp").drop("exp")
@@ -661,3 +656,51 @@ def outcome_rates(spark, sf):
 def mover_share(spark, sf):
     moved = F.col("state") != F.col("origin")
     return rounded(migration.mover_share(facts_flow(spark, sf), "yr", "wt", moved), "mig_frac")
+
+
+def controlled_panel(spark, sf):
+    """Area panel at both ends with the controls the wage models use."""
+    wage, size = F.col("wage"), F.col("wt")
+    shares = {
+        "frac_col": F.col("coll"), "frac_man": F.col("flag") == "A", "frac_trans": F.col("flag") == "N",
+        "frac_trade": wage < 30000, "frac_public": wage > 80000, "frac_young": size <= 15, "frac_old": size >= 35,
+    }
+    return panels.weighted_panel(
+        facts(spark, sf, ENDS), ["area", "yr"], "wt", {"exp": "score", "w": "wage", "age": "disc"}, shares, {"emp": None}
+    )
+
+
+@query("m2_wage_models")
+def wage_models_fit(spark, sf):
+    """Wage change on exposure: plain, with controls, and with state effects; clustered by state."""
+    panel = panels.wage_response(controlled_panel(spark, sf), ["area"], "yr", "w", "exp").join(areas(spark, sf), "area")
+    return fit_many(panel, wage_models("emp", factor_levels(areas(spark, sf), "state")), cluster="state")
+
+
+@query("m5_degree_models")
+def degree_models_fit(spark, sf):
+    """Degree changes and cumulated degrees on exposure, base counts and their products."""
+    kinds = {"comp": F.col("flag") == "R", "total": F.col("flag").isNotNull()}
+    counts = reused(degrees.degree_counts(facts(spark, sf), ["area"], "yr", "wt", kinds))
+    changes = degrees.degree_changes(counts, ["area"], "yr", "comp", "total").where("yr = 1995")
+    changes = changes.select("area", "total", F.col("del_count").alias("del_comp"))
+    logs = degrees.cumulated_logs(counts, ["area"], "yr", 1995, ["comp", "total"])
+    base = zscore(controlled_panel(spark, sf).where("yr = 1995"), exp="exp")
+    return fit_many(base.join(logs, "area").join(changes, "area"), degree_models())
+
+
+@query("m3_condition_models")
+def condition_models_fit(spark, sf):
+    """Choice on the growth and premium the area showed one period earlier, with state effects."""
+    bins = year_bins(spark, 1995, 2, 3).withColumnRenamed("year", "yr")
+    rows = facts_state(spark, sf).join(bins, "yr")
+    wide = cohorts.cohort_conditions(rows, ["state"], "flag", "grp", "rank", 1, 3, "wage", "wt", COHORT_KINDS, ("R", "N"))
+    overall = cohorts.wage_growth(rows, ["state", "grp"], "rank", 1, 3, "wage", "state_growth")
+    later = facts_state(spark, sf).where("yr >= 1998").withColumn("grp", F.lit(2).cast("long"))
+    # Equal conditions are counted before the fit, so persons meet them only in the join.
+    data = later.withColumn("pick", flag(F.col("flag") == "R")).select("state", "grp", "yr", "pick")
+    data = data.join(wide, ["state", "grp"]).join(overall.where("grp = 2"), ["state", "grp"])
+    names = {"growth": "wage_growth_R", "share": "frac_emp_R", "prem": "premium"}
+    scaled = zscore(data, **names)
+    d = condition_models("pick", "growth", "share", "state_growth", "prem", factors={"yr": factor_levels(later, "yr")})
+    return fit_logit(scaled, d, patterns=True).coefficients()

@@ -47,7 +47,12 @@ class LinearFit:
         robust = self.meat is not None
         if robust:
             meat = self.meat.select(*keys, F.col("m").alias("meat"), F.col("n").alias("clusters"))
-            source = null_safe_merge(source, meat, keys)
+            if self.by:
+                source = null_safe_merge(source, meat, keys)
+            else:
+                # A subquery rather than a join: the optimizer need not relate the two deep plans.
+                one = meat.select(F.struct("meat", "clusters")).scalar()
+                source = source.withColumn("__one", one).select("*", "__one.*").drop("__one")
         schema = T.StructType([f for f in self.solved.schema.fields if f.name in keys])
         schema = schema.add("term", "string")
         for name in NUMBERS:
@@ -111,14 +116,15 @@ def fit_linear(df: DataFrame, d: Design, by: Sequence[str] = (), cluster: str |
     solved = full.mapInPandas(solve, schema)
     meat = None
     if cluster:
+        # As a column, the subquery is planned once, however many coefficients are read from it.
         if by:
             rows = null_safe_merge(rows, solved.select(*keys, "beta"), keys)
-            beta = F.col("beta")
         else:
-            beta = solved.select("beta").scalar()
-        residual = w * (y - linear_predictor(d, beta))
-        scored = rows.withColumn("__u", residual)
-        meat = cluster_meat(scored, d, keys, F.col("__u"), dense)
+            rows = rows.withColumn("beta", solved.select("beta").scalar())
+        # Inside the sums, not as a column: next to the renamed regressors, a column made of all of
+        # them costs the optimizer time that doubles with every regressor.
+        residual = w * (y - linear_predictor(d, F.col("beta")))
+        meat = cluster_meat(rows, d, keys, residual, dense)
     return LinearFit(solved, meat, d, tuple(by))
 
 

@@ -69,18 +69,19 @@ def density(df: DataFrame, x: str, by: Sequence[str], points: int = 512) -> Data
     df = reused(df)
     rows = df.select(*by, F.col(x).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     span = rows.agg(F.min("__v").alias("lo"), F.max("__v").alias("hi")).select(F.struct("lo", "hi")).scalar()
-    step = (span["hi"] - span["lo"]) / (points - 1)
-    at = ratio(F.col("__v") - span["lo"], step)
+    low, step = F.col("__span.lo"), (F.col("__span.hi") - F.col("__span.lo")) / (points - 1)
+    rows = rows.withColumn("__span", span)
+    at = ratio(F.col("__v") - low, step)
     left = F.least(F.floor(at), F.lit(points - 2))
     pieces = F.array(F.struct(left.alias("i"), (1 - (at - left)).alias("m")), F.struct((left + 1).alias("i"), (at - left).alias("m")))
     masses = rows.select(*by, F.explode(pieces).alias("p")).groupBy(*by, F.col("p.i").alias("i")).agg(F.sum("p.m").alias("mass"))
     spread = null_safe_merge(masses, density_bandwidth(df, x, by), by)
-    on_grid = spread.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    on_grid = spread.withColumn("__span", span).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     z = ratio((F.col("g") - F.col("i")) * step, "bandwidth")
     kernel = F.exp(-0.5 * z * z) / math.sqrt(2 * math.pi)
     height = ratio(F.sum(F.col("mass") * kernel), F.first("n") * F.first("bandwidth"))
-    summed = on_grid.groupBy(*by, "g").agg(height.alias("density"))
-    return summed.select(*by, (span["lo"] + F.col("g") * step).alias("x"), "density")
+    summed = on_grid.groupBy(*by, "g").agg(height.alias("density")).withColumn("__span", span)
+    return summed.select(*by, (low + F.col("g") * step).alias("x"), "density")
 
 
 def map_table(df: DataFrame, value: str, state: str, area: str | None = None, where: Column | None = None) -> DataFrame:
@@ -138,7 +139,7 @@ def roc_points(df: DataFrame, score: str, label: str, steps: int = 1000, by: Seq
         run = null_safe_merge(run, totals, by)
     else:
         one = totals.select(F.struct("__p", "__q")).scalar()
-        run = run.withColumns({"__p": one["__p"], "__q": one["__q"]})
+        run = run.withColumn("__one", one).withColumns({"__p": F.col("__one.__p"), "__q": F.col("__one.__q")})
     return run.where(F.col("k") > 0).select(
         *by, ((F.col("k") - 1) / steps).alias("cutoff"), ratio("p", "__p").alias("tpr"), ratio("q", "__q").alias("fpr")
     )

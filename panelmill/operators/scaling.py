@@ -25,7 +25,7 @@ def attach_stats(df: DataFrame, by: Sequence[str], stats: Mapping[str, Column])
     if by:
         return null_safe_merge(df, measured(df.groupBy(*by).agg(*named)), by, "inner")
     one = df.agg(*named).select(F.struct(*stats).alias("s")).scalar()
-    return df.withColumns({name: one[name] for name in stats})
+    return df.withColumn("__one", one).withColumns({name: F.col("__one")[name] for name in stats}).drop("__one")
 
 
 def share_of_total(df: DataFrame, x: str, by: Sequence[str], out: str) -> DataFrame:

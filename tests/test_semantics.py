@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from panelmill.functions import codes, safe, weighted
+from panelmill.functions import classes, codes, safe, weighted
 from panelmill.operators import allocation, joins, panel, scaling
 from panelmill.operators.quantiles import exact_quantiles, interval_index, quantile_bins
 from panelmill.operators.reshape import melt, widen
@@ -200,3 +200,20 @@ def test_quantile_of_empty_and_null_groups(spark):
     df = spark.createDataFrame([("a", None), ("b", 1.0), ("b", 2.0)], "g string, x double")
     ranked = exact_quantiles(df, "x", [0.5], ["g"], method="ranked")
     assert {r["g"]: r["quantiles"] for r in ranked.collect()} == {"b": [1.5]}
+
+
+def test_standing_classes(spark):
+    df = spark.createDataFrame([(10,), (391,), (392,), (393,), (940,), (0,), (999,), (None,)], "i int")
+    got = {r[0]: r[1] for r in df.select("i", classes.broad_industry("i")).collect()}
+    assert got == {10: "Agg", 391: "MANUFACTURING", 392: "MANUFACTURING", 393: "Transportation", 940: "Military", 0: None, 999: None, None: None}
+    flags = df.where("i = 391").withColumns(classes.sector_flags("i")).first()
+    assert (flags["man_con"], flags["trade"]) == (1.0, 0.0)
+    school = spark.createDataFrame([(73,), (100,), (111,)], "e int").select("e", classes.schooling("e"))
+    assert rows(school, "e") == [(73, "No College"), (100, "Some College"), (111, "College")]
+    degree = spark.createDataFrame([(6, 24), (10, 0), (10, 24), (10, 60)], "e int, f int")
+    assert rows(degree.select("f", "e", classes.degree_type("e", "f")), "f", "e")[1:] == [(24, 6, "no_college"), (24, 10, "STEM"), (60, 10, "not_STEM")]
+    assert classes.grade_points(spark).count() == 11
+    years = spark.createDataFrame([(1975,), (1990,), (2000,), (2005,)], "p int").select("p", classes.census_year("p"))
+    assert rows(years, "p") == [(1975, 1980), (1990, 1990), (2000, 2000), (2005, 2010)]
+    moved = spark.createDataFrame([(1, 2), (1, 1), (99, 2)], "o int, r int").where(classes.moved_between_states("o", "r"))
+    assert moved.count() == 1
