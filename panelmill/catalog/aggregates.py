@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from panelmill.catalog.registry import FACTS, FACTS_JOB, PANEL, R, area_panel, facts, facts_job, query, r, rounded, table
 from panelmill.functions.safe import ln1p, ratio, strict
 from panelmill.functions.weighted import endpoint_growth, mean_if, wcount, wmean, wmean_if, wshare
-from panelmill.operators.joins import merge
 from panelmill.operators.quantiles import exact_quantiles
 from panelmill.operators.scaling import attach_stats, keep_max, profile
 from panelmill.operators.shares import herfindahl

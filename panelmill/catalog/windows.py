@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelmill.catalog.registry import FACTS, PANEL, R, Rs, area_panel, facts, query, r, rounded, table
+from panelmill.catalog.registry import PANEL, R, Rs, area_panel, query, rounded, table
 from panelmill.operators import panel as pn
 from panelmill.operators import scaling as sc
 from panelmill.operators.quantiles import quantile_bins
