@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from panelmill.llm.bpe import op6_bpe
+from panelmill.llm.decontamination import op1_decontamination
 from panelmill.llm.quality_rules import op3_quality_rules
 from panelmill.llm.secrets import op5_secrets
 from panelmill.llm.sharding import op8_sharding
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_quality_rules": op3_quality_rules,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
