@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelmill.llm.bpe import op6_bpe
 from panelmill.llm.decontamination import op1_decontamination
+from panelmill.llm.minhash import op10_near_dedup
 from panelmill.llm.quality_rules import op3_quality_rules
 from panelmill.llm.secrets import op5_secrets
 from panelmill.llm.sharding import op8_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
     "op8_sharding": op8_sharding,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE: dict[str, str] = {}
