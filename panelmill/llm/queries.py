@@ -8,10 +8,12 @@ from panelmill.llm.minhash import op10_near_dedup
 from panelmill.llm.quality_rules import op3_quality_rules
 from panelmill.llm.secrets import op5_secrets
 from panelmill.llm.sharding import op8_sharding
+from panelmill.llm.substring_dedup import op4_substring_removal
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_quality_rules": op3_quality_rules,
+    "op4_substring_removal": op4_substring_removal,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
     "op8_sharding": op8_sharding,
