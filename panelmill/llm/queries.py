@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelmill.llm.bpe import op6_bpe
 from panelmill.llm.decontamination import op1_decontamination
+from panelmill.llm.language_model import op7_lm_scores
 from panelmill.llm.minhash import op10_near_dedup
 from panelmill.llm.quality_rules import op3_quality_rules
 from panelmill.llm.secrets import op5_secrets
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_substring_removal": op4_substring_removal,
     "op5_secrets": op5_secrets,
     "op6_bpe": op6_bpe,
+    "op7_lm_scores": op7_lm_scores,
     "op8_sharding": op8_sharding,
     "op10_near_dedup": op10_near_dedup,
 }
