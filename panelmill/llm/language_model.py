@@ -37,9 +37,9 @@ from panelmill.llm.shingles import MIX, mixed, word_hashes, words
 END = b"\n"  # no word holds it
 BLOCK_BYTES = 6 << 20
 BYTES_PER_RANGE = 8 << 20
-BITS_PER_TOKEN = 6
-MAX_BITS = 1 << 30
-PROBES = 3
+BITS_PER_TOKEN = 12
+MAX_BITS = 3 << 28
+PROBES = 4
 MIXTURE = 0.4
 KEY_BITS = 48
 LEVELS = 128

@@ -6,6 +6,7 @@ from panelmill.llm.bpe import op6_bpe
 from panelmill.llm.decontamination import op1_decontamination
 from panelmill.llm.language_model import op7_lm_scores
 from panelmill.llm.minhash import op10_near_dedup
+from panelmill.llm.quality_classifier import op2_quality_classifier
 from panelmill.llm.quality_rules import op3_quality_rules
 from panelmill.llm.secrets import op5_secrets
 from panelmill.llm.sharding import op8_sharding
@@ -13,6 +14,7 @@ from panelmill.llm.substring_dedup import op4_substring_removal
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_substring_removal": op4_substring_removal,
     "op5_secrets": op5_secrets,
