@@ -1,7 +1,8 @@
 """Quality and toxicity by a text classifier and hierarchical empirical Bayes over hosts and paths.
 
 The classifier learns from at most ``SAMPLE`` labelled documents, those whose hashed ids are smallest. One half of them gives
-word weights (log odds of a word's document share in either class, the ``FEATURES`` largest kept), the other half a logistic
+weights of words and their runs of four and five characters (log odds of the document shares in either class, for the
+``FEATURES`` parts whose shares differ most), the other half a logistic
 fit of a few numbers per text: weight sums, length, symbols, repetition. Both bounds are parameters; the rest covers all rows.
 
 Every document's evidence is its logit. Grouped sums per path (n, sum, sum of squares of the probabilities) give path means;
@@ -16,6 +17,7 @@ Without labels the classifier is undecided (0.5) and keeps all. An empty table g
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,23 +29,46 @@ from panelmill.llm.common import read_table, staged
 from panelmill.llm.shingles import words
 
 SAMPLE = 20_000
-FEATURES = 50_000
+FEATURES = 30_000
+MEMO_WORDS = 500_000
 SALT = 32
 SYMBOLS = bytes(sorted(b"#*$%&|<>{}[]\\^~@"))
 NUMBERS = ["constant", "quality_sum", "toxic_sum", "toxic_top", "log_words", "symbols", "distinct"]
 
 
-def text_numbers(text: bytes | None, weights: dict[bytes, tuple[float, float]]) -> list[float]:
+def parts_of(word: bytes) -> set[str]:
+    """A word and its runs of four and five characters, with its ends marked."""
+    w = "^" + word.decode("utf-8", "replace")[:80] + "$"
+    return {w, *(w[i:i + 4] for i in range(len(w) - 3)), *(w[i:i + 5] for i in range(len(w) - 4))}
+
+
+class WordWeights(dict):
+    """Summed weights of the known parts of a word: (quality, toxicity, largest toxicity), kept while there is room."""
+
+    def __init__(self, weights: dict[str, tuple[float, float]]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: bytes) -> tuple[float, float, float]:
+        known = [self.weights[p] for p in parts_of(word) if p in self.weights]
+        out = (sum(q for q, _ in known), sum(t for _, t in known), max((t for _, t in known), default=0.0)) if known else (0.0, 0.0, 0.0)
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = out
+        return out
+
+
+def text_numbers(text: bytes | None, weights: WordWeights) -> list[float]:
     """The numbers that the logistic fit sees, in the order of ``NUMBERS``."""
     found = words(text)
     if not found:
         return [1.0] + [0.0] * (len(NUMBERS) - 1)
     distinct = set(found)
-    known = [weights[w] for w in distinct if w in weights]
+    known = [x for x in map(weights.__getitem__, distinct) if x[2] or x[0] or x[1]]
     scale = len(distinct) ** 0.5
-    toxic = sorted((t for _, t in known), reverse=True)[:3]
+    toxic = heapq.nlargest(3, (x[2] for x in known))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
-    return [1.0, sum(q for q, _ in known) / scale, sum(t for _, t in known) / scale, sum(toxic) / 3, float(np.log1p(len(found))), symbols / len(text), len(distinct) / len(found)]
+    return [1.0, sum(x[0] for x in known) / scale, sum(x[1] for x in known) / scale, sum(toxic) / 3, float(np.log1p(len(found))), symbols / len(text), len(distinct) / len(found)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -62,7 +87,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
 class Classifier:
     """Word weights and the two logistic fits."""
 
-    def __init__(self, weights: dict[bytes, tuple[float, float]], centre: np.ndarray, spread: np.ndarray, quality: np.ndarray, toxic: np.ndarray):
+    def __init__(self, weights: WordWeights, centre: np.ndarray, spread: np.ndarray, quality: np.ndarray, toxic: np.ndarray):
         self.weights, self.centre, self.spread, self.quality, self.toxic = weights, centre, spread, quality, toxic
 
     def logits(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,14 +104,26 @@ class Classifier:
         # At most ``sample`` rows of four numbers.
         rows = staged(docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "labelled")
         first = rows.where("h % 2 = 0")
-        token = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x20\x09-\x0D]+"), 0)))
-        counts = first.select(token.alias("w"), "quality", "toxic").groupBy("w").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("quality").alias("q"), F.sum("toxic").alias("t")).where("n > 1")
         n, q, t = (int(x or 0) for x in first.agg(F.count(F.lit(1)), F.sum("quality"), F.sum("toxic")).first())
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[str, list[int]] = {}
+            for batch in batches:
+                for text, quality, toxic in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("quality").to_pylist(), batch.column("toxic").to_pylist()):
+                    for part in set().union(*map(parts_of, set(words(text)))):
+                        c = total.setdefault(part, [0, 0, 0])
+                        c[0] += 1
+                        c[1] += quality
+                        c[2] += toxic
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array([c[k] for c in total.values()], pa.int64()) for k in range(3))], names=["w", "n", "q", "t"])
+
+        counts = first.select("text", "quality", "toxic").mapInArrow(count, "w string, n long, q long, t long").groupBy("w").agg(*(F.sum(c).alias(c) for c in "nqt")).where("n > 1")
         odds = lambda k, part: F.log((F.col(k) + 0.5) / (part + 1.0)) - F.log((F.col("n") - F.col(k) + 0.5) / (n - part + 1.0))
-        weighed = counts.select("w", odds("q", q).alias("q"), odds("t", t).alias("t"))
-        kept = weighed.orderBy(F.desc(F.greatest(F.abs("q"), F.abs("t"))), "w").limit(features).collect()
-        weights = {r["w"].encode(): (r["q"], r["t"]) for r in kept}
+        # How far a part's share of a class is from the class's own, in standard deviations.
+        far = lambda k, part: F.abs(F.col(k) - F.col("n") * (part / max(n, 1))) / F.sqrt(F.col("n") * max(part * (n - part), 1) / max(n, 1) ** 2)
+        weighed = counts.select("w", odds("q", q).alias("q"), odds("t", t).alias("t"), F.greatest(far("q", q), far("t", t)).alias("z"))
+        kept = weighed.orderBy(F.desc("z"), "w").limit(features).collect()
+        weights = WordWeights({r["w"]: (r["q"], r["t"]) for r in kept})
 
         def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -160,7 +197,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     both = salted.join(groups, F.col("host").eqNullSafe(F.col("g_host")) & F.col("path").eqNullSafe(F.col("g_path")) & (F.col("salt") == F.col("g_salt")))
     p = lambda a, b: 1 / (1 + F.exp(-(F.col(a) + F.col(b))))
     out = both.select("doc_id", p("quality", "shift_q").alias("p_quality"), p("toxic", "shift_t").alias("p_toxic"))
-    return out.withColumn("kept", (F.col("p_quality") >= 0.5) & ((F.col("p_toxic") < 0.5) | ((F.col("p_toxic") == 0.5) & F.lit(not model.weights))))
+    return out.withColumn("kept", (F.col("p_quality") >= 0.5) & ((F.col("p_toxic") < 0.5) | ((F.col("p_toxic") == 0.5) & F.lit(not model.weights.weights))))
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
