@@ -6,6 +6,7 @@ from panelmill.llm.bpe import op6_bpe
 from panelmill.llm.decontamination import op1_decontamination
 from panelmill.llm.language_model import op7_lm_scores
 from panelmill.llm.minhash import op10_near_dedup
+from panelmill.llm.passages import op9_fuzzy_passages
 from panelmill.llm.quality_classifier import op2_quality_classifier
 from panelmill.llm.quality_rules import op3_quality_rules
 from panelmill.llm.secrets import op5_secrets
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_lm_scores": op7_lm_scores,
     "op8_sharding": op8_sharding,
+    "op9_fuzzy_passages": op9_fuzzy_passages,
     "op10_near_dedup": op10_near_dedup,
 }
 
