@@ -223,11 +223,11 @@ def f7(spark, sf):
 
 @query(
     "f8_zero_pad",
-    "SELECT s_suppkey, concat(lpad(CAST(s_nationkey AS VARCHAR), 2, '0'), right(concat('000', CAST(s_suppkey % 1000 AS VARCHAR)), 3)) AS fips FROM supplier",
+    "SELECT s_suppkey, concat(lpad(CAST(s_nationkey AS VARCHAR), CAST(greatest(length(CAST(s_nationkey AS VARCHAR)), 2) AS INTEGER), '0'), lpad(CAST(s_suppkey + 900 AS VARCHAR), CAST(greatest(length(CAST(s_suppkey + 900 AS VARCHAR)), 3) AS INTEGER), '0')) AS fips FROM supplier",
 )
 def f8(spark, sf):
     s = table(spark, sf, "supplier")
-    return s.select("s_suppkey", codes.padded_area("s_nationkey", F.col("s_suppkey") % 1000).alias("fips"))
+    return s.select("s_suppkey", codes.padded_area("s_nationkey", F.col("s_suppkey") + 900).alias("fips"))
 
 
 @query("f9_contains", "SELECT p_partkey, contains(p_name, 'more') OR contains(p_name, 'red') AS hit FROM part")

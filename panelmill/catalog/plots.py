@@ -39,30 +39,30 @@ def k1_outliers(spark, sf):
 
 @query(
     "k2_density",
-    f"""WITH v AS (SELECT o_orderstatus AS s, o_totalprice AS v FROM orders), span AS (SELECT min(v) AS lo, (max(v) - min(v)) / 255 AS step FROM v),
+    f"""WITH v AS (SELECT o_orderstatus AS s, o_totalprice AS v FROM orders), span AS (SELECT min(v) AS lo, (max(v) - min(v)) / 511 AS step FROM v),
     h AS (SELECT s, count(*) AS n, 0.9::DOUBLE * least(stddev_samp(v), (quantile_cont(v, 0.75::DOUBLE) - quantile_cont(v, 0.25::DOUBLE)) / 1.34::DOUBLE)
       * pow(count(*), -0.2::DOUBLE) AS bw FROM v GROUP BY s),
-    a AS (SELECT s, (v - lo) / step AS pos, least(floor((v - lo) / step), 254) AS i FROM v, span),
+    a AS (SELECT s, (v - lo) / step AS pos, least(floor((v - lo) / step), 510) AS i FROM v, span),
     m AS (SELECT s, i, sum(m) AS mass FROM (SELECT s, i, 1 - (pos - i) AS m FROM a UNION ALL SELECT s, i + 1, pos - i FROM a) GROUP BY s, i)
     SELECT s, CAST(g AS INTEGER) AS g, {R('sum(mass * exp(-0.5 * pow((g - i) * step / bw, 2)) / sqrt(2 * pi())) / any_value(n) / any_value(bw)', 'density', 12)}
-    FROM m JOIN h USING (s), span, range(256) t(g) GROUP BY s, g""",
+    FROM m JOIN h USING (s), span, range(512) t(g) GROUP BY s, g""",
 )
 def k2(spark, sf):
     rows = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("v"))
-    d = pd_.density(rows, "v", ["s"], points=256)
+    d = pd_.density(rows, "v", ["s"], points=512)
     span = rows.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).select(F.struct("lo", "hi")).scalar()
-    g = F.round((F.col("x") - span["lo"]) / ((span["hi"] - span["lo"]) / 255)).cast("int")
+    g = F.round((F.col("x") - span["lo"]) / ((span["hi"] - span["lo"]) / 511)).cast("int")
     return d.select("s", g.alias("g"), r("density", 12).alias("density"))
 
 
 @query(
     "k3_map_table",
-    f"""WITH {PANEL} SELECT concat(lpad(CAST(s_nationkey AS VARCHAR), 2, '0'), right(concat('000', CAST(area % 1000 AS VARCHAR)), 3)) AS fips,
+    f"""WITH {PANEL} SELECT concat(lpad(CAST(s_nationkey AS VARCHAR), CAST(greatest(length(CAST(s_nationkey AS VARCHAR)), 2) AS INTEGER), '0'), lpad(CAST(area AS VARCHAR), CAST(greatest(length(CAST(area AS VARCHAR)), 3) AS INTEGER), '0')) AS fips,
     {R('exp', 'value')} FROM panel JOIN supplier ON area = s_suppkey WHERE yr = 1995""",
 )
 def k3(spark, sf):
-    panel = area_panel(spark, sf).join(areas(spark, sf), "area").withColumn("no", F.col("area") % 1000)
-    return rounded(pd_.map_table(panel, "exp", "state", "no", where=F.col("yr") == 1995), "value")
+    panel = area_panel(spark, sf).join(areas(spark, sf), "area")
+    return rounded(pd_.map_table(panel, "exp", "state", "area", where=F.col("yr") == 1995), "value")
 
 
 @query("k4_mean_bars", f"WITH {FACTS} SELECT yr, flag, {R('avg(wage)', 'height')} FROM facts GROUP BY yr, flag")

@@ -21,7 +21,7 @@ from panelmill.operators.quantiles import quantile_bins
 from panelmill.operators.scaling import above_median, share_of_total, zscore
 from panelmill.plans import cohorts, concentration, decomposition, degrees, did, exposure, migration, panels, shocks
 from panelmill.plans.regressions import condition_models, degree_models, effect_by_bin, fit_many, growth_models, wage_models
-from panelmill.session import measured, reused
+from panelmill.session import reused
 from panelmill.sources.tables import literal_table, year_bins
 
 ENDS = (1995, 2001)
@@ -250,7 +250,7 @@ OCC_SCORED = f"""{FACTS_JOB}, os AS (SELECT occ, avg(score) AS x FROM persons GR
 def occ_scored(spark, sf):
     """Persons whose score is the mean of their occupation."""
     rows = facts_job(spark, sf)
-    means = measured(rows.groupBy("occ").agg(F.avg("score").alias("x")))
+    means = rows.groupBy("occ").agg(F.avg("score").alias("x"))
     return rows.drop("score").join(means, "occ")
 
 
@@ -640,12 +640,12 @@ def validated(spark, sf):
 
 @query(
     "a4_outcome_rates",
-    f"""WITH {FACTS}, f AS (SELECT area, wt, CASE WHEN flag = 'R' THEN 1 WHEN flag = 'A' THEN 0 END AS o FROM facts WHERE yr <= 1996)
+    f"""WITH {FACTS}, f AS (SELECT area, wt, CASE WHEN flag = 'R' THEN 1 WHEN flag = 'A' THEN 0 END AS o FROM facts)
     SELECT area, {R('sum(wt * o) / sum(wt)', 'rate')}, {R('sum(wt)', 'total')}, {R('sum(wt * o)', 'positive')} FROM f GROUP BY area""",
 )
 def outcome_rates(spark, sf):
     o = F.when(F.col("flag") == "R", 1.0).when(F.col("flag") == "A", 0.0)
-    rows = facts(spark, sf).where("yr <= 1996").withColumn("o", o)
+    rows = facts(spark, sf).withColumn("o", o)
     return rounded(panels.outcome_rates(rows, ["area"], "o", "wt"), "rate", "total", "positive")
 
 

@@ -84,10 +84,10 @@ def w8(spark, sf):
 
 @query(
     "w9_zscore_whole_table",
-    f"WITH {PANEL} SELECT area, yr, {R('(exp - avg(exp) OVER ()) / stddev_samp(exp) OVER ()', 'z')} FROM panel WHERE yr <> 1998",
+    f"WITH {PANEL} SELECT area, yr, {R('(exp - avg(exp) OVER ()) / stddev_samp(exp) OVER ()', 'z')} FROM panel",
 )
 def w9(spark, sf):
-    return rounded(sc.zscore(area_panel(spark, sf).where("yr <> 1998"), z="exp").select("area", "yr", "z"), "z")
+    return rounded(sc.zscore(area_panel(spark, sf), z="exp").select("area", "yr", "z"), "z")
 
 
 @query(

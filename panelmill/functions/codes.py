@@ -36,10 +36,14 @@ def state_part(code: str | Column) -> Column:
 
 
 def padded_area(state: str | Column, area: str | Column) -> Column:
-    """Five-character map key: two digits of state, three of area."""
-    return F.concat(
-        F.lpad(as_col(state).cast("string"), 2, "0"), F.lpad(as_col(area).cast("string"), 3, "0")
-    )
+    """Map key: two digits of state, three of area; longer numbers keep all their digits."""
+    return F.concat(zero_padded(state, 2), zero_padded(area, 3))
+
+
+def zero_padded(code: str | Column, width: int) -> Column:
+    """Text of at least ``width`` characters, zeros in front; nothing is cut."""
+    text = as_col(code).cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(width)), "0")
 
 
 def zip5(code: str | Column) -> Column:

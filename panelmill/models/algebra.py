@@ -8,10 +8,21 @@ from statistics import NormalDist
 import numpy as np
 
 
-def sweep(full: np.ndarray, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+def uncentred(beta: np.ndarray, covariance: np.ndarray, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients and covariance for columns as they were before ``shift`` (terms, then outcome) was taken off."""
+    terms = len(shift) - 1
+    back = np.eye(len(beta))
+    back[0, 1:terms + 1] = -shift[:terms]
+    raw = back @ beta
+    raw[0] += shift[terms]
+    return raw, back @ covariance @ back.T
+
+
+def sweep(full: np.ndarray, tol: float = 1e-12) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
     """Solve the normal equations held in ``full`` (regressors, then outcome).
 
-    A column that the earlier ones explain is left out: its coefficient is 0 and ``kept`` is False.
+    A column that the earlier ones explain is left out: its coefficient is 0 and ``kept`` is False. Columns are expected
+    near their means, so that ``tol`` compares what is left of a column with its spread.
     Returns coefficients, inverse, residual sum of squares and ``kept``.
     """
     k = full.shape[0] - 1

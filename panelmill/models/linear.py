@@ -20,7 +20,7 @@ from panelmill.operators.joins import null_safe_merge
 NUMBERS = ("estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high")
 FIT_FIELDS = (
     "n double, rank int, df_residual double, sigma double, r_squared double, adj_r_squared double,"
-    " f_statistic double, beta array<double>, inverse array<double>, kept array<boolean>"
+    " f_statistic double, beta array<double>, inverse array<double>, kept array<boolean>, shift array<double>"
 )
 
 
@@ -35,7 +35,7 @@ class LinearFit:
 
     def summary(self) -> DataFrame:
         """(by..., n, rank, df_residual, sigma, r_squared, adj_r_squared, f_statistic)"""
-        return self.solved.drop("beta", "inverse", "kept", ALL)
+        return self.solved.drop("beta", "inverse", "kept", "shift", ALL)
 
     def coefficients(self, level: float = 0.95, terms: Sequence[str] | None = None) -> DataFrame:
         """(by..., term, estimate, std_error, statistic, p_value, conf_low, conf_high)"""
@@ -43,7 +43,7 @@ class LinearFit:
         names = self.design.names
         size = len(names)
         wanted = set(terms) if terms is not None else set(names)
-        source = self.solved.select(*keys, "n", "rank", "sigma", "beta", "inverse", "kept")
+        source = self.solved.select(*keys, "n", "rank", "sigma", "beta", "inverse", "kept", "shift")
         robust = self.meat is not None
         if robust:
             meat = self.meat.select(*keys, F.col("m").alias("meat"), F.col("n").alias("clusters"))
@@ -68,7 +68,8 @@ class LinearFit:
                         covariance = algebra.clustered(inverse, meat, float(row["clusters"]), n, rank)
                     else:
                         covariance = inverse * (row["sigma"] ** 2 if n > rank else np.nan)
-                    rows = algebra.coefficient_rows(names, row["beta"], covariance, row["kept"], n - rank, level)
+                    beta, covariance = algebra.uncentred(np.asarray(row["beta"]), covariance, np.asarray(row["shift"]))
+                    rows = algebra.coefficient_rows(names, beta, covariance, row["kept"], n - rank, level)
                     out = pd.DataFrame([r for r in rows if r[0] in wanted], columns=["term", *NUMBERS])
                     for k in reversed(keys):
                         out.insert(0, k, pd.Series([row[k]] * len(out), dtype=pdf[k].dtype))
@@ -78,12 +79,18 @@ class LinearFit:
 
 
 def fit_linear(df: DataFrame, d: Design, by: Sequence[str] = (), cluster: str | None = None) -> LinearFit:
-    """One pass of sums over the rows; with ``cluster`` a second pass for the robust covariance."""
+    """Means, then one pass of sums over the rows less the means; with ``cluster`` a further pass for the robust covariance.
+
+    Coefficients are kept for the centred columns and put back when they are read.
+    """
     keys = key_names(by)
     rows = prepared(df, d, by, cluster)
+    numeric = [f"__x{i}" for i in range(len(d.terms))] + ["__y"]
+    means = rows.agg(F.array(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in numeric]).alias("s")).scalar()
+    rows = rows.withColumn("__shift", means).withColumns({c: F.col(c) - F.col("__shift")[i] for i, c in enumerate(numeric)}).drop("__shift")
     dense, w, y = dense_columns(d), F.col("__w"), F.col("__y")
     cells = moment_cells(rows, d, keys, dense, w, [w * x * y for x in dense], w * y * y, F.lit(1))
-    full = full_moments(cells, d, keys)
+    full = full_moments(cells, d, keys).withColumn("shift", means)
     size = len(d.names)
     fields = T.StructType([f for f in full.schema.fields if f.name in keys])
     schema = T.StructType([*fields.fields, *T._parse_datatype_string(FIT_FIELDS).fields])
@@ -105,7 +112,7 @@ def fit_linear(df: DataFrame, d: Design, by: Sequence[str] = (), cluster: str |
                     "r_squared": r2,
                     "adj_r_squared": 1 - (1 - r2) * (n - 1) / left if left > 0 else np.nan,
                     "f_statistic": (tss - rss) / (rank - 1) / (rss / left) if left > 0 and rank > 1 and rss > 0 else np.nan,
-                    "beta": beta, "inverse": inverse.ravel(), "kept": kept,
+                    "beta": beta, "inverse": inverse.ravel(), "kept": kept, "shift": row["shift"],
                 })
             if out:
                 solved = pd.DataFrame(out)
@@ -131,11 +138,13 @@ def fit_linear(df: DataFrame, d: Design, by: Sequence[str] = (), cluster: str |
 def fit_lines(df: DataFrame, x: str, y: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """(by..., n, slope, intercept, slope_se): the straight line under a scatter, per group.
 
-    A one-regressor fit in closed form, so it stays a single built-in aggregation.
+    A one-regressor fit in closed form over columns less their means, so it stays built-in aggregation.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), w.alias("w"))
     rows = rows.dropna(subset=["x", "y", "w"]).where(F.col("w") != 0)
+    means = rows.agg(F.struct(F.avg("x").alias("x"), F.avg("y").alias("y")).alias("m")).scalar()
+    rows = rows.withColumn("m", means).select(*by, (F.col("x") - F.col("m.x")).alias("x"), (F.col("y") - F.col("m.y")).alias("y"), "w")
     x_, y_, w_ = F.col("x"), F.col("y"), F.col("w")
     sums: dict[str, Column] = {
         "n": F.count(F.lit(1)), "sw": F.sum(w_), "sx": F.sum(w_ * x_), "sy": F.sum(w_ * y_),
@@ -145,11 +154,11 @@ def fit_lines(df: DataFrame, x: str, y: str, by: Sequence[str] = (), weight: str
     sxx = F.col("sxx") - ratio(F.col("sx") * F.col("sx"), "sw")
     sxy = F.col("sxy") - ratio(F.col("sx") * F.col("sy"), "sw")
     syy = F.col("syy") - ratio(F.col("sy") * F.col("sy"), "sw")
-    s = s.withColumns({"sxx": sxx, "sxy": sxy, "syy": syy}).withColumn("slope", ratio("sxy", "sxx"))
+    s = s.withColumn("m", means).withColumns({"sxx": sxx, "sxy": sxy, "syy": syy}).withColumn("slope", ratio("sxy", "sxx"))
     rss = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0))
     left = F.when(F.col("n") > 2, F.col("n") - 2)
     return s.select(
         *by, "n", "slope",
-        ratio(F.col("sy") - F.col("slope") * F.col("sx"), "sw").alias("intercept"),
+        (ratio(F.col("sy") - F.col("slope") * F.col("sx"), "sw") + F.col("m.y") - F.col("slope") * F.col("m.x")).alias("intercept"),
         F.sqrt(ratio(ratio(rss, left), "sxx")).alias("slope_se"),
     )

@@ -54,6 +54,8 @@ class LogitFit:
     by: tuple[str, ...]
     key_fields: list[T.StructField]
     groups: dict[tuple, GroupFit] = field(default_factory=dict)
+    # Taken off the terms during the fit; the groups hold coefficients of the centred terms.
+    shift: np.ndarray = field(default_factory=lambda: np.zeros(1))
 
     def _frame(self, rows: list[tuple], fields: str) -> DataFrame:
         schema = T.StructType([*self.key_fields, *T._parse_datatype_string(fields).fields])
@@ -68,7 +70,8 @@ class LogitFit:
             covariance = g.inverse
             if g.meat is not None:
                 covariance = algebra.clustered(g.inverse, g.meat, g.clusters, g.n, int(g.kept.sum()))
-            found = algebra.coefficient_rows(names, g.beta, covariance, g.kept, None, level)
+            beta, covariance = algebra.uncentred(g.beta, covariance, self.shift)
+            found = algebra.coefficient_rows(names, beta, covariance, g.kept, None, level)
             rows += [(*key, *r) for r in found if r[0] in wanted]
         return self._frame(rows, "term string, " + ", ".join(f"{c} double" for c in NUMBERS))
 
@@ -86,7 +89,9 @@ class LogitFit:
             {**{f"__x{i}": term_column(t) for i, t in enumerate(d.terms)},
              **{f"__f{i}": level_index(f) for i, f in enumerate(d.factors)}}
         )
-        ready = _with_beta(ready, self.spark, self.groups, self.key_fields, list(self.by))
+        blank = np.zeros((len(d.names), len(d.names)))
+        raw = {k: GroupFit(algebra.uncentred(g.beta, blank, self.shift)[0]) for k, g in self.groups.items()}
+        ready = _with_beta(ready, self.spark, raw, self.key_fields, list(self.by))
         eta = linear_predictor(d, F.col("__beta"))
         scored = ready.withColumn(out, eta if link else 1.0 / (1.0 + F.exp(-eta)))
         return scored.drop("__beta", *[c for c in ready.columns if c.startswith(("__x", "__f"))])
@@ -136,6 +141,10 @@ def fit_logit(
     else:
         rows = rows.withColumn("__n", F.lit(1.0)).withColumnRenamed("__y", "__s")
     rows = staged(rows, "logit")
+    numeric = [f"__x{i}" for i in range(len(d.terms))]
+    means = rows.agg(*[F.avg(c) for c in numeric]).first() if numeric else []
+    shift = np.array([*(m or 0.0 for m in means), 0.0])
+    rows = rows.withColumns({c: F.col(c) - float(m) for c, m in zip(numeric, shift)}) if numeric else rows
     key_fields = [f for f in rows.schema.fields if f.name in keys]
     size = len(d.names)
     found = rows.select(*keys).distinct().limit(MAX_GROUPS + 1).collect()
@@ -165,7 +174,7 @@ def fit_logit(
             g = groups[tuple(row[k] for k in keys)]
             g.meat = np.asarray(row["m"], dtype=float).reshape(size, size)
             g.clusters = row["n"]
-    return LogitFit(spark, d, tuple(by), key_fields, groups)
+    return LogitFit(spark, d, tuple(by), key_fields, groups, shift)
 
 
 def _collected(cells: DataFrame, d: Design, keys: list[str]):

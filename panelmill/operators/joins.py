@@ -89,9 +89,10 @@ def crosswalk_scores(
     links = reused(links.where(known).groupBy(code, target).agg(F.count(F.lit(1)).alias("__times")))
     near = prefix_key(F.col(code), length)
     spare = non_members(scores, links, [code]).groupBy(near.alias("__near")).agg(F.avg(score).alias("__spare"))
-    # One pass over the links: the exact score where there is one, else the left-over score of the prefix.
-    matched = links.join(scores, code, "left").withColumn("__near", F.when(F.col(score).isNull(), near))
-    value = F.coalesce(F.col(score), F.col("__spare"))
-    both = matched.join(spare, "__near", "left").select(target, "__times", value.alias(score))
+    # Exact links and left-over ones are joined apart, so no row carries an empty key.
+    usable = scores.where(F.col(score).isNotNull())
+    exact = links.join(usable, code).select(target, "__times", score)
+    rest = non_members(links, usable, [code]).withColumn("__near", near).join(spare, "__near")
+    both = exact.unionByName(rest.select(target, "__times", F.col("__spare").alias(score)))
     mean = ratio(F.sum(F.col(score) * F.col("__times")), F.sum("__times"))
     return both.where(F.col(score).isNotNull()).groupBy(target).agg(mean.alias(score))

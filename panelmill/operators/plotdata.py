@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelmill.functions.codes import padded_area
+from panelmill.functions.codes import padded_area, zero_padded
 from panelmill.functions.safe import ratio
 from panelmill.operators.joins import null_safe_merge
 from panelmill.operators.quantiles import exact_quantiles
 from panelmill.operators.scaling import share_of_total
-from panelmill.session import measured, reused
+from panelmill.session import reused
 
 
 def _with_box(df: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def _with_box(df: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
         *by, q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"),
         (q[0] - reach).alias("__low"), (q[2] + reach).alias("__high"),
     )
-    return null_safe_merge(df.where(F.col(x).isNotNull()), measured(box), by)
+    return null_safe_merge(df.where(F.col(x).isNotNull()), box, by)
 
 
 def box_stats(df: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
@@ -86,7 +86,7 @@ def density(df: DataFrame, x: str, by: Sequence[str], points: int = 512) -> Data
 
 def map_table(df: DataFrame, value: str, state: str, area: str | None = None, where: Column | None = None) -> DataFrame:
     """(fips, value): two-digit state or five-digit area keys."""
-    key = padded_area(state, area) if area else F.lpad(F.col(state).cast("string"), 2, "0")
+    key = padded_area(state, area) if area else zero_padded(state, 2)
     chosen = df if where is None else df.where(where)
     return chosen.select(key.alias("fips"), F.col(value).alias("value"))
 
@@ -167,7 +167,7 @@ def half_split(df: DataFrame, key: str, label: str, replicates: int = 1, seed: i
     # Half of n, halves to even, then the gap between that rank and the next one.
     sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n")).withColumn("__half", F.bround(F.col("__n") / 2))
     numbered = _rank_cut(rows, groups, sizes)
-    return null_safe_merge(rows, measured(numbered), groups).withColumn("in_sample", F.col("__draw") < F.col("__cut")).drop("__draw", "__cut")
+    return null_safe_merge(rows, numbered, groups).withColumn("in_sample", F.col("__draw") < F.col("__cut")).drop("__draw", "__cut")
 
 
 def _rank_cut(rows: DataFrame, groups: list[str], sizes: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def _rank_cut(rows: DataFrame, groups: list[str], sizes: DataFrame) -> DataFrame
     The middle ranks of a group lie within one of its median, so the median's two neighbours decide.
     """
     middle = exact_quantiles(rows, "__draw", [0.5], groups)
-    known = measured(null_safe_merge(middle, sizes, groups))
+    known = null_safe_merge(middle, sizes, groups)
     split = null_safe_merge(rows, known, groups)
     low = F.col("__draw") < F.col("quantiles")[0]
     counted = split.groupBy(*groups).agg(

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from panelmill.operators.joins import null_safe_merge
-from panelmill.session import is_small, measured, reused
+from panelmill.session import reused
+
+# Distinct values of a range, and the most ranges of a group (the cuts travel beside the rows).
+RANGE_VALUES = 20_000
+MOST_RANGES = 1024
 
 
 def exact_quantiles(
@@ -17,25 +21,12 @@ def exact_quantiles(
     x: str,
     probs: Sequence[float],
     by: Sequence[str] = (),
-    method: str | None = None,
-    slots: int = 256,
 ) -> DataFrame:
     """``(by..., quantiles)``: linearly interpolated quantiles of ``x`` per group, nulls ignored.
 
-    ``method="percentile"`` uses the built-in aggregate, which holds a group's distinct values in
-    one task; it is chosen only for input below a size estimate. ``method="ranked"`` finds the
-    order statistics by distributed counting, so that a group of any size is spread over tasks.
-    Both give the same numbers.
+    Order statistics are found by distributed counting: a group's distinct values are cut into ranges of about
+    ``RANGE_VALUES``, so that a group of any size is spread over tasks and small groups stay one range.
     """
-    if method is None:
-        method = "percentile" if is_small(df.select(*by, x)) else "ranked"
-    if method == "percentile":
-        cut = F.percentile(F.col(x).cast("double"), F.array(*[F.lit(float(p)) for p in probs]))
-        return df.groupBy(*by).agg(cut.alias("quantiles"))
-    return _ranked_quantiles(df, x, probs, by, slots)
-
-
-def _ranked_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequence[str], slots: int) -> DataFrame:
     value = F.col("__x")
     by = list(by)
     # Without keys one constant key keeps the steps below the same.
@@ -45,16 +36,18 @@ def _ranked_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequenc
         keyed = keyed.withColumn("__all", F.lit(1))
     cells = reused(keyed.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__n")), "values")
 
-    # Up to `slots` pseudo-random distinct values per group cut it into near-equal ranges. The draw
+    # Pseudo-random distinct values cut each group into near-equal ranges, as many as its values ask for. The draw
     # depends on the values alone, so any re-run yields the same cuts.
-    draw = cells.groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(slots)).alias("__slot")).agg(
+    sizes = cells.groupBy(*keys).agg(F.least(F.ceil(F.count(F.lit(1)) / RANGE_VALUES), F.lit(MOST_RANGES)).alias("__slots"))
+    slots = null_safe_merge(cells, sizes.where("__slots > 1"), keys)
+    draw = slots.groupBy(*keys, F.pmod(F.xxhash64(value), F.col("__slots")).alias("__slot")).agg(
         F.min_by(value, F.xxhash64(value, F.lit(1))).alias("__cut")
     )
-    cuts = measured(draw.groupBy(*keys).agg(F.sort_array(F.collect_list("__cut")).alias("__cuts")))
+    cuts = draw.groupBy(*keys).agg(F.sort_array(F.collect_list("__cut")).alias("__cuts"))
     # Binary search of the sorted cuts by halving steps; reading past the end gives null, so no step.
     # One projection per step keeps the search in generated code.
-    tagged = null_safe_merge(cells, cuts, keys).withColumn("__range", F.lit(0))
-    for step in (1 << i for i in reversed(range(slots.bit_length()))):
+    tagged = null_safe_merge(cells, cuts, keys, "left").withColumn("__range", F.lit(0))
+    for step in (1 << i for i in reversed(range(MOST_RANGES.bit_length()))):
         ahead = F.get("__cuts", F.col("__range") + step - 1) <= value
         tagged = tagged.withColumn("__range", F.col("__range") + F.when(ahead, step).otherwise(0))
     tagged = tagged.select(*keys, "__x", "__n", "__range")
@@ -82,7 +75,7 @@ def _ranked_quantiles(df: DataFrame, x: str, probs: Sequence[float], by: Sequenc
     inside = Window.partitionBy(*keys, "__range").orderBy("__x")
     hit = (F.col("__ask.__rank") >= F.col("__to") - F.col("__n")) & (F.col("__ask.__rank") < F.col("__to"))
     picked = (
-        null_safe_merge(tagged, measured(wanted), [*keys, "__range"])
+        null_safe_merge(tagged, wanted, [*keys, "__range"])
         .withColumn("__to", F.col("__base") + F.sum("__n").over(inside))
         .withColumn("__ask", F.explode("__asks"))
         .where(hit)
@@ -131,7 +124,7 @@ def quantile_bins(
     sample = df if where is None else df.where(where)
     cut = exact_quantiles(sample, x, [i / bins for i in range(bins + 1)], by)
     if by:
-        df = null_safe_merge(df, measured(cut), by, "left")
+        df = null_safe_merge(df, cut, by, "left")
     else:
         df = df.withColumn("quantiles", cut.select("quantiles").scalar())
     value = F.col(x).cast("double")

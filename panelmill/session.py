@@ -1,14 +1,12 @@
-"""Session settings, plan size estimates and tables staged in the shared folder."""
+"""Session settings and tables staged in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A frame is treated as small only below this estimated size.
-SMALL_BYTES = 64 * 1024 * 1024
+STAGING = "panelmill"
 
 
 def build_session(app: str = "panelmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,62 +28,51 @@ def build_session(app: str = "panelmill", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Estimated bytes of all tables a plan reads; runs no job."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame) -> bool:
-    """True when everything the plan reads is small; unknown sizes count as large."""
-    return input_bytes(df) <= SMALL_BYTES
-
-
-def _is_reduced(plan) -> bool:
-    """Every large input of the plan has passed an aggregation."""
-    if plan.nodeName() in ("Aggregate", "Distinct", "Deduplicate"):
+def _leaves_reduced(plan) -> bool:
+    """Every table that the plan scans has passed an aggregation, or was staged before."""
+    if plan.nodeName() in ("Aggregate", "Distinct", "Deduplicate", "LocalRelation", "OneRowRelation"):
         return True
     children = plan.children()
     if children.size() == 0:
-        return int(str(plan.stats().sizeInBytes())) <= SMALL_BYTES
-    return all(_is_reduced(children.apply(i)) for i in range(children.size()))
+        return f"/{STAGING}/" in str(plan.toString())
+    return all(_leaves_reduced(children.apply(i)) for i in range(children.size()))
 
 
-def reused(df: DataFrame, label: str = "reused") -> DataFrame:
-    """For a frame about to be read more than once.
-
-    When it aggregates large input, the aggregate is staged, so that the input is read once and all
-    readers see the very same numbers. Small input is cheaper to read again, and so is a frame that
-    is no reduction of what it reads.
-    """
-    if is_small(df) or not _is_reduced(df._jdf.queryExecution().optimizedPlan()):
-        return df
-    return staged(df, label)
+def _aggregates(plan) -> bool:
+    children = plan.children()
+    return plan.nodeName() in ("Aggregate", "Distinct", "Deduplicate") or any(_aggregates(children.apply(i)) for i in range(children.size()))
 
 
-def measured(df: DataFrame, label: str = "measured") -> DataFrame:
-    """For a grouped table that is joined back to large rows.
+def reused(df: DataFrame, label: str = "reused") -> DataFrame:
+    """For a frame about to be read more than once.
 
-    Staged, its true size is known when the join is planned: Spark broadcasts it below the session
-    threshold and shuffles both sides otherwise. An estimate made from large input would always shuffle.
+    When it is an aggregate of what it reads, it is staged, whatever its size: the input is read once and all readers see
+    the very same numbers. A frame that is no reduction of its input is read again.
     """
-    return df if is_small(df) else staged(df, label)
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return staged(df, label) if _aggregates(plan) and _leaves_reduced(plan) else df
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the session's checkpoint directory.
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the context's checkpoint directory.
 
-    Only where the session names none (local tests) is a temporary one chosen and recorded.
+    A local session without either uses its warehouse folder; on a cluster one of them must be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="panelmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        found = context._jsc.sc().getCheckpointDir()
+        if found.isDefined():
+            folder = found.get()
+        elif context.master.startswith("local") and not context.master.startswith("local-cluster"):
+            folder = spark.conf.get("spark.sql.warehouse.dir")
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/panelmill/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{STAGING}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
@@ -96,3 +83,10 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Delete what this application has staged; frames that read it must not be used any more."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{STAGING}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -5,21 +5,22 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from panelmill.session import build_session  # noqa: E402
+from panelmill.session import build_session, clear_staged  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests", "local[8]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false",
-        spark__ui__showConsoleProgress="false", spark__driver__memory="6g",
+        spark__ui__showConsoleProgress="false", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")), spark__driver__memory="6g",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_staged(session)
     session.stop()
 
 
 @pytest.fixture
 def large(monkeypatch):
-    """Treat every input as large: staged intermediates, ranked quantiles."""
-    monkeypatch.setattr("panelmill.session.SMALL_BYTES", 0)
+    """Cut every group of values into many ranges."""
+    monkeypatch.setattr("panelmill.operators.quantiles.RANGE_VALUES", 5)

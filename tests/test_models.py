@@ -197,3 +197,25 @@ def test_validation_replicates(spark):
     df = spark.createDataFrame(rows, "k long, y double, x double")
     out = exposure.validate_scores(df, "k", "y", ["x"], replicates=3, steps=200).collect()
     assert len(out) == 3 and all(0.6 < r["auc"] < 0.95 for r in out)
+
+
+@pytest.mark.parametrize("base", [3e5, 1e6, 1e9])
+def test_regressors_far_from_zero_are_kept(spark, base):
+    y = [3.0, 5.5, 9.0, 13.2, 15.0, 18.9, 21.0, 25.5, 28.0, 31.1]
+    near = spark.createDataFrame([(float(i), v, i % 2) for i, v in enumerate(y)], "x double, y double, g int")
+    far = near.withColumn("x", F.col("x") + base)
+    for cluster in (None, "g"):
+        a, b = (fit_linear(df, design("y", "x"), cluster=cluster).coefficients(terms=["x"]).first() for df in (near, far))
+        assert b.estimate == pytest.approx(a.estimate, rel=1e-9) and b.std_error == pytest.approx(a.std_error, rel=1e-6)
+    line = fit_lines(far, "x", "y").first()
+    assert line.slope == pytest.approx(fit_lines(near, "x", "y").first().slope, rel=1e-9)
+    hit = near.withColumn("hit", (F.col("y") + 9 * F.col("g") > 17).cast("double"))
+    a, b = (fit_logit(df, design("hit", "x")).coefficients(terms=["x"]).first() for df in (hit, hit.withColumn("x", F.col("x") + base)))
+    assert b.estimate == pytest.approx(a.estimate, rel=1e-6)
+
+
+def test_map_keys_are_padded_and_never_cut(spark):
+    from panelmill.functions.codes import padded_area
+
+    df = spark.createDataFrame([(1, 7), (12, 345), (101, 1234), (101, 1239)], "s int, a int")
+    assert [r[0] for r in df.select(padded_area("s", "a")).collect()] == ["01007", "12345", "1011234", "1011239"]

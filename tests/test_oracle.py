@@ -1,23 +1,22 @@
-"""Every registered query against its SQL twin at the smallest scale, also on the large-input paths."""
+"""Every registered query against its SQL twin at the smallest scale."""
 
 import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from check import compare, connect
+from panelmill.catalog import ORACLE, QUERIES, load_all
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
 
-TWINS = oracle_sql()
-# Queries whose route depends on the input size.
-SIZE_DEPENDENT = [
-    "a11_median", "a12_quantiles", "a24_profile", "p15_above_global_quantile", "w1_partition_total", "w2_share_of_total",
-    "w8_zscore_by_group", "w9_zscore_whole_table", "w10_median_split", "w11_quantile_flag", "w12_quantile_bin",
-    "w13_argmax_rows", "k1_box_stats", "k2_density", "k7_histogram", "k8_roc", "k10_half_split", "d2_crosswalk_to_persons",
-    "d3_allocation", "d4_adjacent_totals", "d7_shift_share", "d8_herfindahl", "d9_between_within", "d10_share_change_by_bin",
-    "d11_net_migration", "d12_hub_flows", "d16_quartile_changes", "d18_yearly_logs", "d24_industry_cells",
+load_all()
+TWINS = ORACLE
+# Queries that take quantiles: also with many ranges to each group.
+QUANTILES = [
+    "a11_median", "a12_quantiles", "a24_profile", "p15_above_global_quantile", "w10_median_split", "w11_quantile_flag",
+    "w12_quantile_bin", "k1_box_stats", "k2_density", "d8_herfindahl", "d10_share_change_by_bin", "d12_hub_flows", "d16_quartile_changes",
 ]
 
 
@@ -26,15 +25,15 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_equals_twin(spark, duck, key):
-    verdict = compare(spark, duck, queries()[key], TWINS.get(key), FOLDER)
+    verdict = compare(spark, duck, QUERIES[key], TWINS.get(key), FOLDER)
     assert not verdict.startswith("FAIL"), verdict
 
 
-@pytest.mark.parametrize("key", SIZE_DEPENDENT)
-def test_large_input_route_equals_twin(spark, duck, large, key):
-    verdict = compare(spark, duck, queries()[key], TWINS[key], FOLDER)
+@pytest.mark.parametrize("key", QUANTILES)
+def test_many_ranges_equal_twin(spark, duck, large, key):
+    verdict = compare(spark, duck, QUERIES[key], TWINS[key], FOLDER)
     assert not verdict.startswith("FAIL"), verdict
 
 
@@ -46,5 +45,5 @@ def test_entry_has_rows(spark):
 
 def test_every_inventory_id_is_registered():
     counts = {"s": 10, "p": 18, "j": 17, "a": 25, "w": 17, "o": 4, "u": 3, "r": 4, "f": 18, "m": 16, "k": 10, "d": 24}
-    have = {key.split("_")[0] for key in queries()}
+    have = {key.split("_")[0] for key in QUERIES}
     assert not [f"{c}{i}" for c, n in counts.items() for i in range(1, n + 1) if f"{c}{i}" not in have]

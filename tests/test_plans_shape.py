@@ -4,14 +4,14 @@ import os
 
 import pytest
 
-from __spark_entry__ import queries
+from panelmill.catalog import QUERIES, load_all
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
 
 
 def plan(spark, key):
-    return queries()[key](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    return QUERIES[key](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_scan_reads_only_used_columns(spark):
@@ -23,7 +23,8 @@ def test_year_ranges_reach_the_scan(spark):
     assert "GreaterThanOrEqual(l_shipdate" in plan(spark, "d6_long_difference")
 
 
-RELATIONAL = [k for k in queries() if k[0] in "pjwaufro" or k[:2] in ("d5", "d6", "d7", "d8", "d9") or k.startswith("d1")]
+load_all()
+RELATIONAL = [k for k in QUERIES if k[0] in "pjwaufro" or k[:2] in ("d5", "d6", "d7", "d8", "d9") or k.startswith("d1")]
 
 
 @pytest.mark.parametrize("key", [k for k in RELATIONAL if k != "d1_exposure_scores" and not k.startswith(("u2", "d19_move_prop"))])

@@ -198,7 +198,7 @@ def test_panel_weighted_shares_match_means(spark):
 
 def test_quantile_of_empty_and_null_groups(spark):
     df = spark.createDataFrame([("a", None), ("b", 1.0), ("b", 2.0)], "g string, x double")
-    ranked = exact_quantiles(df, "x", [0.5], ["g"], method="ranked")
+    ranked = exact_quantiles(df, "x", [0.5], ["g"])
     assert {r["g"]: r["quantiles"] for r in ranked.collect()} == {"b": [1.5]}
 
 
