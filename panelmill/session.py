@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,18 @@ def build_session(app: str = "panelmill", master: str | None = None, **conf: str
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local["):
+        ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> str:
+    """Send the package to the executors, whose workers import it; returns the archive."""
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{spark.sparkContext._temp_dir}/{package.name}", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    return archive
 
 
 def _leaves_reduced(plan) -> bool:

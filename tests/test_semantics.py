@@ -217,3 +217,24 @@ def test_standing_classes(spark):
     assert rows(years, "p") == [(1975, 1980), (1990, 1990), (2000, 2000), (2005, 2010)]
     moved = spark.createDataFrame([(1, 2), (1, 1), (99, 2)], "o int, r int").where(classes.moved_between_states("o", "r"))
     assert moved.count() == 1
+
+
+def test_package_is_sent_to_workers(spark):
+    import zipfile
+
+    from panelmill.session import ship
+
+    names = zipfile.ZipFile(ship(spark)).namelist()
+    assert "panelmill/models/linear.py" in names and "panelmill/session.py" in names
+
+
+def test_staged_tables_can_be_cleared(spark):
+    import os
+
+    from panelmill.session import clear_staged, shared_folder, staged
+
+    assert staged(spark.range(3)).count() == 3
+    folder = f"{shared_folder(spark)}/panelmill/{spark.sparkContext.applicationId}".removeprefix("file:")
+    assert os.listdir(folder)
+    clear_staged(spark)
+    assert not os.path.exists(folder)
