@@ -35,13 +35,13 @@ from panelmill.llm.common import checked_partitions, read_table, staged, text_or
 from panelmill.llm.shingles import MIX, mixed, word_hashes, words
 
 END = b"\n"  # no word holds it
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 8 << 20
 BYTES_PER_RANGE = 8 << 20
 BITS_PER_TOKEN = 12
 MAX_BITS = 3 << 28
 PROBES = 4
 MIXTURE = 0.4
-KEY_BITS = 48
+KEY_BITS = 44
 LEVELS = 128
 
 #: The count a level stands for: the mean of the counts that have it.
@@ -62,6 +62,25 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, one plane per byte, so that the empty high bytes cost nothing."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _word_parts(found: list[bytes], ranges: int) -> list[tuple[int, np.ndarray]]:
+    """(part, places) of a block's words: words meet by hash, in the block's order inside a part."""
+    part = (word_hashes(found) % np.uint64(ranges)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+    return [(int(part[g[0]]), g) for g in groups]
+
+
 def token_blocks(docs: DataFrame) -> DataFrame:
     """(block, ids, held, sizes, tokens, words, counts): rows of some documents, their tokens as numbers of their words."""
     kind = "block long, ids array<long>, held array<boolean>, sizes array<int>, tokens binary, words binary, counts binary, trained long"
@@ -102,36 +121,34 @@ def _words(batch, i: int) -> list[bytes]:
 
 
 def exact_counts(blocks: DataFrame, ranges: int) -> DataFrame:
-    """(block, part, places, counts, n, v, q): exact counts of a block's words by part, and each part's totals once (block null)."""
+    """(block, part, counts, n, v, q): exact counts of a block's words by part, and each part's totals once (block null)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 found = _words(batch, i)
                 counts = _unpack(batch.column("counts")[i].as_py(), np.uint32)
-                part = (word_hashes(found) % np.uint64(ranges)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.diff(part[order])) + 1
-                groups = np.split(order, cuts)
+                groups = _word_parts(found, ranges)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([batch.column("block")[i].as_py()] * len(groups), pa.int64()), pa.array([int(part[g[0]]) for g in groups], pa.int32()),
-                    pa.array([g.astype(np.uint32).tobytes() for g in groups], pa.binary()), pa.array([b" ".join([found[k] for k in g]) for g in groups], pa.binary()),
-                    pa.array([counts[g].tobytes() for g in groups], pa.binary())], names=["block", "part", "places", "words", "counts"])
+                    pa.array([batch.column("block")[i].as_py()] * len(groups), pa.int64()), pa.array([p for p, _ in groups], pa.int32()),
+                    pa.array([zstandard.ZstdCompressor(level=1).compress(b" ".join([found[k] for k in g])) for _, g in groups], pa.binary()),
+                    pa.array([_pack(counts[g]) for _, g in groups], pa.binary())], names=["block", "part", "words", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total: dict[bytes, int] = defaultdict(int)
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("block", "places", "words", "counts"))))
+        plain = zstandard.ZstdDecompressor()
+        rows = [(b, p, plain.decompress(w).split(b" "), c) for b, p, w, c in zip(*(table.column(c).to_pylist() for c in ("block", "part", "words", "counts")))]
         for _, _, found, counts in rows:
-            for w, c in zip(found.split(b" "), np.frombuffer(counts, np.uint32).tolist()):
+            for w, c in zip(found, _unpack(counts, np.uint32).tolist()):
                 total[w] += c
         seen = np.array([c for c in total.values() if c], np.int64)
-        out = [(b, p, np.fromiter(map(total.__getitem__, found.split(b" ")), np.int64).tobytes(), None, None, None) for b, p, found, _ in rows]
+        out = [(b, p, _pack(np.fromiter(map(total.__getitem__, found), np.int64)), None, None, None) for b, p, found, _ in rows]
         out.append((None, None, None, int(seen.sum()), len(seen), float(LEVEL_COUNTS[levels(seen)].sum()) if len(seen) else 0.0))
         return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate((
-            ("block", pa.int64()), ("places", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("q", pa.float64())))})
+            ("block", pa.int64()), ("part", pa.int32()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("q", pa.float64())))})
 
-    dealt = blocks.select("block", "words", "counts").mapInArrow(deal, "block long, part int, places binary, words binary, counts binary")
-    return dealt.groupBy("part").applyInArrow(add, "block long, places binary, counts binary, n long, v long, q double")
+    dealt = blocks.select("block", "words", "counts").mapInArrow(deal, "block long, part int, words binary, counts binary")
+    return dealt.groupBy("part").applyInArrow(add, "block long, part int, counts binary, n long, v long, q double")
 
 
 def pair_keys(hashes: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -186,17 +203,16 @@ def filter_segments(blocks: DataFrame, ranges: int, bits: int) -> np.ndarray:
                 for lo, hi in zip(edges, edges[1:]):
                     if hi > lo:
                         more = np.flatnonzero(counts[lo:hi] > 1).astype(np.uint32)
-                        rows.append((int(part[lo]), np.ascontiguousarray(keys[lo:hi].view(np.uint8).reshape(-1, 8)[:, :KEY_BITS // 8]).tobytes(), more.tobytes(), counts[lo:hi][more].astype(np.uint32).tobytes()))
+                        rows.append((int(part[lo]), _pack_sorted(keys[lo:hi]), more.tobytes(), counts[lo:hi][more].astype(np.uint32).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "keys", "more", "counts"])
 
     def fill(table: pa.Table) -> pa.Table:
         keys, counts = [], []
         for raw, more, many in zip(*(table.column(c).to_pylist() for c in ("keys", "more", "counts"))):
-            wide = np.zeros((len(raw) // (KEY_BITS // 8), 8), np.uint8)
-            wide[:, :KEY_BITS // 8] = np.frombuffer(raw, np.uint8).reshape(-1, KEY_BITS // 8)
-            c = np.ones(len(wide), np.int64)
+            part = _unpack_sorted(raw)
+            c = np.ones(len(part), np.int64)
             c[np.frombuffer(more, np.uint32)] = np.frombuffer(many, np.uint32)
-            keys.append(wide.view(np.uint64).ravel())
+            keys.append(part)
             counts.append(c)
         keys, counts = np.concatenate(keys), np.concatenate(counts)
         order = np.argsort(keys, kind="stable")
@@ -259,8 +275,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mix: flo
             sizes = np.array(left.column("sizes")[i].as_py())
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             counts = np.zeros(len(found), np.int64)
-            for places, c in zip(right.column("places").to_pylist(), right.column("counts").to_pylist()):
-                counts[np.frombuffer(places, np.uint32)] = np.frombuffer(c, np.int64)
+            places = dict(_word_parts(found, parts))
+            for part, c in zip(right.column("part").to_pylist(), right.column("counts").to_pylist()):
+                counts[places[part]] = _unpack(c, np.int64)
             base = np.add.reduceat((np.log10(counts + 1.0) - np.log10(n + v + 1.0))[tokens], starts)
             known = np.add.reduceat((counts > 0)[tokens].astype(np.int64), starts)
             before = _before(tokens, sizes, found.index(END))
@@ -277,7 +294,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mix: flo
         return pa.concat_tables(out)
 
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    parts_of = exact.where("block is not null").select("block", "places", "counts")
+    parts_of = exact.where("block is not null").select("block", "part", "counts")
     return blocks.select("block", "ids", "held", "sizes", "tokens", "words").groupBy("block").cogroup(parts_of.groupBy("block")).applyInArrow(run, kind)
 
 
