@@ -107,7 +107,8 @@ def _scanned(texts: list[bytes | None], length: int):
 
 
 def _bucket(v: np.ndarray) -> np.ndarray:
-    return (v >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    # Anchors are smallest hashes, so their high bits are all alike; the low ones are not.
+    return (v & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
 
 
 def repeated_buckets(rows: DataFrame, length: int) -> np.ndarray:
