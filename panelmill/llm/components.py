@@ -12,7 +12,7 @@ def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -28,14 +28,15 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for all nodes of ``links`` (a, b). Loops and repeats do no harm."""
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    edges = staged(edges, "edges")
-    before = _state(edges)
-    while before[0]:
-        edges = staged(_small(staged(_large(edges), "edges")), "edges")
-        after = _state(edges)
-        if after == before:
+    edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v"), "edges")
+    before = None
+    while True:
+        large = staged(_large(edges), "edges")
+        state = _state(large)
+        if state == before or not state[0]:
+            edges = large  # stars stay as they are
             break
-        before = after
+        edges = staged(_small(large), "edges")
+        before = _state(edges)
     pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component")).distinct()

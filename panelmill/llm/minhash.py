@@ -7,9 +7,10 @@ rarest pairs of either: only this prefix is posted. Rarity comes from counts of
 fixed size), so values that very many documents share come last and are hardly ever posted.
 
 Within a posting list not all pairs are made. First each class meets one centre, the class with most copies; links
-join classes into components. Then, several times, each class outside the list's largest component meets a random member
-of that component. At last classes still apart meet every class of other components on their lists (pairs within a component
-are skipped), so no link between components is lost. A pair is confirmed if its 128 coordinates agree on 80 or more (odds of loss
+join classes into components. Then each class outside a list's largest component meets random members of that
+component, other ones on each list. At last classes still apart meet every class of other components on their lists, pairs within a component
+being skipped. On longer lists a class's room goes before: shingles that no other class of these lists has cannot be shared, and
+a pair whose room is below what a link needs is never made; this is exact, so no link between components is lost. A pair is confirmed if its 128 coordinates agree on 80 or more (odds of loss
 about 1e-6 at 0.8) and then on the full shingle sets, which a second pass over the texts makes for the classes in question.
 
 Defined results: null and empty texts and texts without words have an empty set, are linked with nothing and kept. Texts with
@@ -36,7 +37,9 @@ LEAST_POSTED = 36
 LEAST_EQUAL = 80
 SKETCH = 1_048_583  # buckets of the pair counts
 MARKS = 1 << 22  # bits of the filter of classes whose sets are fetched
-RANDOM_ROUNDS = 3
+SHORT_LIST = 8  # lists up to this length are compared outright
+RANDOM_MEMBERS = 3  # of a list's largest component, met by the classes outside it
+LIKELIEST = 8  # of a class's candidates among them, confirmed on full sets
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -142,8 +145,8 @@ class ShingleSets:
         self.docs, self.classes, self.size = docs, classes, size
         self.known: DataFrame | None = None
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+    def of(self, ends: DataFrame) -> DataFrame | None:
+        """(cid, shingles) of the classes ``ends`` (cid, distinct), among others."""
         if self.known is not None:
             ends = ends.join(self.known.select("cid"), "cid", "left_anti")
         wanted = staged(self.classes.select("cid", "rep").join(ends, "cid", "left_semi"), "wanted-classes")
@@ -153,6 +156,24 @@ class ShingleSets:
             self.known = found if self.known is None else self.known.unionByName(found)
         return self.known
 
+    def room(self, ends: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+        """(cid, n, room): how many shingles a class shares at most with any other of ``ends``; only classes that this lets have a link."""
+        known = self.of(ends)
+        sized = classes.select("cid", "n").join(ends, "cid", "left_semi")
+        if known is None:
+            return sized.withColumn("room", F.col("n"))
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for key, raw in zip(batch.column("cid").to_pylist(), batch.column("shingles").to_pylist()):
+                    s = np.frombuffer(raw, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.full(len(s), key))], names=["s", "cid"])
+
+        each = known.join(ends, "cid", "left_semi").mapInArrow(spread, "s long, cid long")
+        alone = each.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("cid").alias("cid")).where("k = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("own"))
+        left = sized.join(alone, "cid", "left").select("cid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("room"))
+        return left.where(F.col("room") * 100 >= F.col("n") * percent)
+
     def _fetch(self, marks: np.ndarray) -> DataFrame:
         bits = np.zeros(MARKS, bool)
         bits[marks] = True
@@ -195,41 +216,46 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def linked(shared: DataFrame, classes: DataFrame, sets: ShingleSets, percent: int) -> DataFrame:
     """(node, component) of the classes that have a link."""
-    spark, links = shared.sparkSession, None
-    comps = spark.createDataFrame([], "node long, component long")
+    comps = shared.sparkSession.createDataFrame([], "node long, component long")
     share = percent / 100
 
     def settle(pairs: DataFrame, best: int | None = None) -> None:
-        nonlocal links, comps
+        nonlocal comps
         near = staged(agreeing(pairs, classes, share), "agreeing")
         if best:
             # Of many candidates of a class the likeliest; the others stay for later rounds.
             near = staged(near.groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("equal", "b")), asc=False), 1, best).alias("s")).select("a", F.explode("s.b").alias("b")), "agreeing")
-        known = sets.of(near)
+        known = sets.of(near.select(F.col("a").alias("cid")).union(near.select(F.col("b").alias("cid"))).distinct())
         if known is None:
             return
         found = staged(confirmed(near, known, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        comps = staged(components(links), "components")
+        # What is known already enters as stars.
+        before = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        comps = staged(components(found.unionByName(before)), "components")
 
     def placed() -> DataFrame:
         return shared.join(comps, shared.cid == comps.node, "left").select("elem", "cid", F.coalesce("component", "cid").alias("comp"))
 
     centre = shared.groupBy("elem").agg(F.max_by("cid", F.struct("copies", -F.col("rep"))).alias("b"))
     settle(shared.join(centre, "elem").where("cid <> b").select(F.col("cid").alias("a"), "b").distinct())
-    for seed in range(RANDOM_ROUNDS):
-        rows = staged(placed(), "placed")
-        sizes = rows.groupBy("elem", "comp").agg(F.count(F.lit(1)).alias("n"), F.min_by("cid", F.xxhash64("cid", "elem", F.lit(seed))).alias("pick"))
-        top = sizes.groupBy("elem").agg(F.max_by(F.struct("comp", "pick", "n"), F.struct("n", "comp")).alias("t"), F.count(F.lit(1)).alias("comps"))
-        top = top.where("comps > 1 and t.n > 2").select("elem", F.col("t.comp").alias("top"), F.col("t.pick").alias("b"))
-        settle(rows.join(top, "elem").where("comp <> top").select(F.col("cid").alias("a"), "b").distinct(), best=4)
+    rows = staged(placed(), "placed")
+    picks = F.array(*[F.min_by("cid", F.xxhash64("cid", "elem", F.lit(seed))) for seed in range(RANDOM_MEMBERS)])
+    sizes = rows.groupBy("elem", "comp").agg(F.count(F.lit(1)).alias("n"), picks.alias("picks"))
+    top = sizes.groupBy("elem").agg(F.max_by(F.struct("comp", "picks", "n"), F.struct("n", "comp")).alias("t"), F.count(F.lit(1)).alias("comps"))
+    top = top.where("comps > 1 and t.n > 2").select("elem", F.col("t.comp").alias("top"), F.explode(F.array_distinct("t.picks")).alias("b"))
+    settle(rows.join(top, "elem").where("comp <> top").select(F.col("cid").alias("a"), "b").distinct(), best=LIKELIEST)
     rows = staged(placed(), "placed")
     sizes = rows.groupBy("elem", "comp").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("elem").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("elem", "top")
-    rows = staged(rows.join(top, "elem"), "apart")
-    minor = rows.where("comp <> top").select("elem", F.col("cid").alias("a"), F.col("comp").alias("comp_a"))
-    others = rows.select("elem", F.col("cid").alias("b"), F.col("comp").alias("comp_b"), "top")
-    pairs = minor.join(others, "elem").where("comp_a <> comp_b and (comp_b = top or a < b)")
+    top = sizes.groupBy("elem").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"))
+    rows = staged(rows.join(top.where("comps > 1").select("elem", "top", "size"), "elem"), "apart")
+    short = rows.where(F.col("size") <= SHORT_LIST).select("elem", "cid", "comp", "top", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("room"))
+    long = rows.where(F.col("size") > SHORT_LIST).drop("size")
+    room = staged(sets.room(long.select("cid").distinct(), classes, percent), "class-room")
+    rows = short.unionByName(long.join(room, "cid"))
+    minor = rows.where("comp <> top").select("elem", F.col("cid").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"))
+    others = rows.select("elem", F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"), "top")
+    fits = f"n_a is null or {100 + percent} * least(room_a, room_b) >= {percent} * (n_a + n_b)"
+    pairs = minor.join(others, "elem").where(f"comp_a <> comp_b and (comp_b = top or a < b) and ({fits})")
     settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return comps
 
