@@ -167,11 +167,11 @@ def shard_repeats(length: int):
         text[ends - 1] = 1
         t = np.concatenate((text, np.zeros(1, np.int16)))
         order = suffix_array(t, 258, length)
-        shared = common_prefixes(t, order, length)
         owner = np.repeat(np.arange(len(parts)), sizes + 1)
         inside = np.arange(len(text)) - np.repeat(ends - sizes - 1, sizes + 1)
         counts = table.column("starts").to_numpy()
         is_start = inside < counts[owner]
+        shared = common_prefixes(t, order, length, np.flatnonzero(is_start))
         # Strings in suffix order; a new class begins where fewer than ``length`` bytes are shared.
         order = order[order < len(text)]
         order = order[is_start[order]]

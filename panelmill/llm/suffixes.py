@@ -45,24 +45,21 @@ def _induced(t: np.ndarray, small: np.ndarray, lms: np.ndarray, size: int) -> np
         _dealt(waves, before[~own], chars[~own])
         return before[own]
 
+    def waves(bucket: list[np.ndarray], c: int, target: list[list[np.ndarray]], kind: bool) -> list[np.ndarray]:
+        """Pushes a bucket; what it adds to itself comes after all that was there."""
+        done, now = [], np.concatenate(bucket) if bucket else np.zeros(0, np.int64)
+        while len(now):
+            done.append(now)
+            now = push(now, c, target, kind)
+        return done
+
     for c in range(size):
-        queue, k = large[c], 0
-        while k < len(queue):
-            again = push(queue[k], c, large, False)
-            k += 1
-            if len(again):
-                # What a wave adds to its own bucket comes after all that was there.
-                queue.append(again)
+        large[c] = waves(large[c], c, large, False)
         for part in by_char[c]:
             push(part, c, large, False)
     down: list[list[np.ndarray]] = [[] for _ in range(size)]
     for c in range(size - 1, -1, -1):
-        queue, k = down[c], 0
-        while k < len(queue):
-            again = push(queue[k], c, down, True)
-            k += 1
-            if len(again):
-                queue.append(again)
+        down[c] = waves(down[c], c, down, True)
         for part in reversed(large[c]):
             push(part[::-1], c, down, True)
     down[int(t[-1])].append(np.array([len(t) - 1]))  # the end of the text is the smallest suffix and follows nothing
@@ -95,7 +92,7 @@ def _doubled(names: np.ndarray, depth: int | None) -> np.ndarray:
         tail = np.zeros(n, np.int64)
         tail[:-k] = rank[k:] + 1
         key = rank * (n + 2) + tail
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         fresh = np.empty(n, np.int64)
         fresh[order] = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
@@ -131,22 +128,32 @@ def suffix_array(t: np.ndarray, size: int, depth: int | None = None) -> np.ndarr
     named[order] = numbers
     reduced = named[lms]
     few = numbers[-1] + 1 <= RECURSIVE_NAMES
-    inner = suffix_array(reduced, int(numbers[-1]) + 1, depth) if few else _doubled(reduced, depth)
+    inner_depth = depth and depth // 2 + 2  # a name spans two characters at least
+    inner = suffix_array(reduced, int(numbers[-1]) + 1, inner_depth) if few else _doubled(reduced, inner_depth)
     return _induced(t, small, lms[inner], size)
 
 
-def common_prefixes(t: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
-    """Permuted: for each position, the characters (up to ``length``) it shares with the suffix before it in order."""
+def common_prefixes(t: np.ndarray, order: np.ndarray, length: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Permuted: for each position (of ``at``, if given), the characters it shares with the suffix before it in order, up to ``length``.
+
+    ``t`` holds numbers below 2^16; four are compared at a time. Its only 0 at the end stops every comparison.
+    """
     n = len(t)
     before = np.full(n, -1)
     before[order[1:]] = order[:-1]
+    wide = np.concatenate((t, np.zeros(length + 8, t.dtype))).astype(np.uint64)
+    words = wide[:-3] | wide[1:-2] << np.uint64(16) | wide[2:-1] << np.uint64(32) | wide[3:] << np.uint64(48)
     shared = np.zeros(n, np.int64)
-    padded = np.concatenate((t, np.full(length, -1, t.dtype)))
-    live = np.flatnonzero(before >= 0)
-    for k in range(length):
-        live = live[padded[live + k] == padded[before[live] + k]]
-        live = live[(before[live] + k < n) & (live + k < n)]
-        if not len(live):
-            break
-        shared[live] += 1
+    live = np.arange(n) if at is None else at
+    live, ended = live[before[live] >= 0], []
+    for k in range(0, length - 3, 4):
+        same = words[live + k] == words[before[live] + k]
+        ended.append(live[~same])
+        live = live[same]
+        shared[live] = k + 4
+    rest = np.concatenate([*ended, live])
+    for _ in range(3):
+        s = shared[rest]
+        rest = rest[(s < length) & (wide[rest + s] == wide[before[rest] + s])]
+        shared[rest] += 1
     return shared
