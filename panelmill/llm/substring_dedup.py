@@ -39,6 +39,7 @@ PIECE = 2 << 20  # bytes scanned at once
 BUCKET_BITS = 27
 SHARD_BYTES = 2 << 20
 CONTEXTS_PER_ANCHOR = 2_000
+FILTER_SIZE = 1 << 20
 LAST = (1 << 63) - 1  # place of a null id
 
 
@@ -217,10 +218,16 @@ def removed_ranges(rows: DataFrame, length: int = LENGTH, per_anchor: int = CONT
     """(doc_id, rk, lo, hi): byte ranges to remove, which may overlap; ``rows`` has doc_id, rk and text."""
     found = staged(contexts(rows, length), "contexts")
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("start").alias("start"))
-    groups = found.groupBy("v", "ctx").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("starts").alias("starts"), F.first("bytes", True).alias("bytes"))
+    groups = found.groupBy("v", "ctx").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("starts").alias("starts"))
     groups = staged(groups, "context-groups")
     kinds = groups.groupBy("v").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    several = staged(groups.join(kinds, "v").select("v", "ctx", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "starts", "bytes", "kinds"), "several-contexts")
+    keys = staged(groups.join(kinds, "v").select("v", "ctx", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "starts", "kinds"), "several-keys")
+    # Only these contexts' bytes are shuffled; the filter has at most FILTER_SIZE numbers.
+    slot = F.pmod("v", F.lit(FILTER_SIZE)).cast("int").alias("slot")
+    slots = staged(keys.select(slot).distinct(), "several-slots")
+    parts = found.where("bytes is not null").select("v", "ctx", "bytes", slot).join(F.broadcast(slots), "slot", "left_semi")
+    parts = parts.groupBy("v", "ctx").agg(F.first("bytes").alias("bytes"))
+    several = staged(keys.join(parts, ["v", "ctx"]), "several-contexts")
     usual = several.where(F.col("kinds") <= per_anchor)
     total = usual.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shards = checked_partitions(total, SHARD_BYTES)
