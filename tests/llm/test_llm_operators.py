@@ -273,6 +273,16 @@ def test_passages_with_edits(spark):
     assert (r.doc_id, r.other_id) == (2, 1) and r.end - r.start >= 80 and r.share >= 0.9
 
 
+def test_passages_at_different_offsets(spark):
+    rng = random.Random(21)
+    one, two, three = (brute.sentence(rng, 100).split() for _ in range(3))
+    other = lambda n: brute.sentence(rng, n).split()
+    docs = [one + other(200) + two + other(30) + three, one + other(400) + two + other(3) + three]
+    rows = passages.repeated_passages(spark.createDataFrame([(i + 1, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
+    for start, other_start in ((0, 0), (500, 300), (603, 430)):
+        assert any(r.start <= start + 5 and r.end >= start + 95 and r.other_start <= other_start + 5 and r.other_end >= other_start + 95 for r in rows)
+
+
 def test_quality_classifier(spark):
     rng = random.Random(3)
     rows, labels = [], []
