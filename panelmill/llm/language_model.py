@@ -2,16 +2,17 @@
 
 A count c is stored as its level 1 + floor(2 log2 c): the key is entered once per level up to that one, each time under
 other hash functions, so a probe climbs from level 1 until a level is missing. All probes of a key fall in one segment of the
-filter. The filter has ``BITS_PER_TOKEN`` bits for each training token, ``max_bits`` (a parameter) at most: that is the bound of
-what is broadcast. Above the bound the false positive rate rises, as the fill tells; no count is left out.
+filter. The filter has ``BITS_PER_TOKEN`` bits for each training token at every size, so fill and false positive rate stay as
+they are. No task holds more than one segment: keys are entered and probed where their segment is.
 
 One pass over the texts stores blocks: the distinct words of some documents with their training counts, and all tokens as
 numbers of these words. The rest works on blocks:
 
 1. Words of all blocks meet by hash; their exact counts c, the total N and the distinct number V go back to the blocks.
-2. Keys of words and word pairs with their counts in a block, sorted and packed, meet by hash range; each range sums its counts
-   and sets its segment of the filter. The number of ranges follows the input, so a range stays small.
-3. With the exact counts, each block gives the base score; with the filter, the model's: p(w | h) is the mix of
+2. Keys of words and word pairs with their training counts in a block, sorted and packed, meet by hash range; each range sums its
+   counts, sets its segment of the filter and returns to each block the levels its keys climb to, held-out texts' keys too. The
+   number of ranges follows the input, so a range stays small.
+3. With the exact counts, each block gives the base score; with the levels, the model's: p(w | h) is the mix of
    the pair share c(h w) / c(h) with weight ``mix`` and of the smoothed word share (c(w) + 1) / (N + V + 1), all
    counts read from the filter, N being the sum of what it returns for the words.
 
@@ -38,7 +39,6 @@ END = b"\n"  # no word holds it
 BLOCK_BYTES = 8 << 20
 BYTES_PER_RANGE = 8 << 20
 BITS_PER_TOKEN = 12
-MAX_BITS = 3 << 28
 PROBES = 4
 MIXTURE = 0.4
 KEY_BITS = 44
@@ -181,67 +181,74 @@ def segment_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return (keys >> np.uint64(KEY_BITS - int(ranges).bit_length() + 1)).astype(np.int64)
 
 
-def filter_segments(blocks: DataFrame, ranges: int, bits: int) -> np.ndarray:
-    """The filter: ``ranges`` segments of ``bits`` bits, packed in bytes."""
+def block_keys(hashes: np.ndarray, tokens: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Keys of a block's tokens: those of their pairs, then those of its words."""
+    return np.concatenate((pair_keys(hashes[tokens], hashes[before]), word_keys(hashes)))
+
+
+def filter_levels(blocks: DataFrame, ranges: int, bits: int) -> DataFrame:
+    """(block, part, levels): levels that the sorted keys of a block climb to in a segment of ``bits`` bits of the filter."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 found = _words(batch, i)
-                hashes = word_hashes(found)
                 tokens = _unpack(batch.column("tokens")[i].as_py(), np.uint32)
                 sizes = np.array(batch.column("sizes")[i].as_py())
                 train = np.repeat(~np.array(batch.column("held")[i].as_py()), sizes)
                 before = _before(tokens, sizes, found.index(END))
-                pairs = pair_keys(hashes[tokens[train]], hashes[before[train]])
-                single = word_keys(hashes[tokens[train]])
-                keys, counts = np.unique(np.concatenate((pairs, single)), return_counts=True)
+                keys, back = np.unique(block_keys(word_hashes(found), tokens, before), return_inverse=True)
+                counts = np.bincount(back[:len(tokens)][train], minlength=len(keys)) + np.bincount(back[len(tokens):][tokens[train]], minlength=len(keys))
                 part = segment_of(keys, ranges)
                 cuts = np.flatnonzero(np.diff(part)) + 1
                 edges = [0, *cuts.tolist(), len(keys)]
                 rows = []
                 for lo, hi in zip(edges, edges[1:]):
                     if hi > lo:
-                        more = np.flatnonzero(counts[lo:hi] > 1).astype(np.uint32)
-                        rows.append((int(part[lo]), _pack_sorted(keys[lo:hi]), more.tobytes(), counts[lo:hi][more].astype(np.uint32).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "keys", "more", "counts"])
+                        other = np.flatnonzero(counts[lo:hi] != 1).astype(np.uint32)
+                        rows.append((batch.column("block")[i].as_py(), int(part[lo]), _pack_sorted(keys[lo:hi]), _pack(other), _pack(counts[lo:hi][other].astype(np.uint32))))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
+                    names=["block", "part", "keys", "other", "counts"])
 
     def fill(table: pa.Table) -> pa.Table:
-        keys, counts = [], []
-        for raw, more, many in zip(*(table.column(c).to_pylist() for c in ("keys", "more", "counts"))):
+        each, counts = [], []
+        for raw, other, many in zip(*(table.column(c).to_pylist() for c in ("keys", "other", "counts"))):
             part = _unpack_sorted(raw)
             c = np.ones(len(part), np.int64)
-            c[np.frombuffer(more, np.uint32)] = np.frombuffer(many, np.uint32)
-            keys.append(part)
+            c[_unpack(other, np.uint32)] = _unpack(many, np.uint32)
+            each.append(part)
             counts.append(c)
-        keys, counts = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        top = levels(np.add.reduceat(counts, heads))
-        keys = keys[heads]
-        segment = np.zeros(bits, bool)
-        for level in range(1, int(top.max()) + 1):
-            keys, top = keys[top >= level], top[top >= level]
-            for at in _positions(keys, level, bits):
-                segment[at] = True
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(segment, bitorder="little").tobytes()], pa.binary())})
-
-    filled = blocks.mapInArrow(count, "part int, keys binary, more binary, counts binary").groupBy("part").applyInArrow(fill, "part int, bits binary")
-    table = filled.toArrow()  # ranges * bits bits
-    out = np.zeros((ranges, bits // 8), np.uint8)
-    for part, raw in zip(table.column("part").to_pylist(), table.column("bits")):
-        out[part] = np.frombuffer(raw.as_buffer(), np.uint8)
-    return out
-
-
-def filter_counts(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Counts that the filter returns: a key climbs while all its bits of the next level are set."""
+        keys, back = np.unique(np.concatenate(each), return_inverse=True)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, back, np.concatenate(counts))
+        found = filter_climb(segment_bits(keys[total > 0], levels(total[total > 0]), bits), keys).astype(np.uint8)[back]
+        ends = np.cumsum([len(k) for k in each])
+        return pa.table({
+            "block": table.column("block"), "part": table.column("part"),
+            "levels": pa.array([_pack(found[hi - len(k):hi]) for k, hi in zip(each, ends)], pa.binary())})
+
+    packed = blocks.select("block", "held", "sizes", "tokens", "words").mapInArrow(count, "block long, part int, keys binary, other binary, counts binary")
+    return packed.groupBy("part").applyInArrow(fill, "block long, part int, levels binary")
+
+
+def segment_bits(keys: np.ndarray, top: np.ndarray, bits: int) -> np.ndarray:
+    """A segment that holds distinct keys up to their levels, packed in bytes, as the one row of an array."""
+    segment = np.zeros(bits, bool)
+    for level in range(1, int(top.max(initial=0)) + 1):
+        keys, top = keys[top >= level], top[top >= level]
+        for at in _positions(keys, level, bits):
+            segment[at] = True
+    return np.packbits(segment, bitorder="little").reshape(1, -1)
+
+
+def filter_climb(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Levels that the filter returns: a key climbs while all its bits of the next level are set."""
     ranges, width = bloom.shape
     flat, bits = bloom.ravel(), width * 8
     level = np.zeros(len(keys), np.int64)
     live = np.arange(len(keys))
-    base = segment_of(keys, ranges) * width
+    base = segment_of(keys, ranges) * width if ranges > 1 else np.zeros(len(keys), np.int64)
     for q in range(1, LEVELS):
         alive = np.ones(len(live), bool)
         for at in _positions(keys[live], q, bits):
@@ -250,10 +257,15 @@ def filter_counts(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
         level[live] = q
         if not len(live):
             break
-    return LEVEL_COUNTS[level]
+    return level
+
+
+def filter_counts(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Counts that the filter returns."""
+    return LEVEL_COUNTS[filter_climb(bloom, keys)]
 
 
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mix: float = MIXTURE, max_bits: int = MAX_BITS) -> DataFrame:
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mix: float = MIXTURE) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     blocks = staged(token_blocks(rows), "token-blocks")
@@ -263,11 +275,14 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mix: flo
     n, v, q = exact.where("block is null").agg(F.sum("n"), F.sum("v"), F.sum("q")).first()
     n, v, q = int(n or 0), int(v or 0), float(q or 0.0)
     ranges = 1 << (parts - 1).bit_length()
-    bits = max(64, min(max_bits, BITS_PER_TOKEN * n) // ranges // 8 * 8)
-    shared = docs.sparkSession.sparkContext.broadcast(filter_segments(blocks, ranges, bits))
+    bits = max(64, BITS_PER_TOKEN * n // ranges // 8 * 8)
+    climbed = filter_levels(blocks, ranges, bits)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        bloom, out = shared.value, []
+        out = []
+        part, counted, level = (right.column(c).to_pylist() for c in ("part", "counts", "levels"))
+        # The levels of the block's sorted keys: segments are ranges of keys, in order.
+        seen = np.concatenate([_unpack(z, np.uint8) for _, z in sorted((p, z) for p, z in zip(part, level) if z is not None)]) if left.num_rows else None
         for i in range(left.num_rows):
             found = _words(left, i)
             hashes = word_hashes(found)
@@ -276,14 +291,14 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mix: flo
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             counts = np.zeros(len(found), np.int64)
             places = dict(_word_parts(found, parts))
-            for part, c in zip(right.column("part").to_pylist(), right.column("counts").to_pylist()):
-                counts[places[part]] = _unpack(c, np.int64)
+            for k, c in zip(part, counted):
+                if c is not None:
+                    counts[places[k]] = _unpack(c, np.int64)
             base = np.add.reduceat((np.log10(counts + 1.0) - np.log10(n + v + 1.0))[tokens], starts)
             known = np.add.reduceat((counts > 0)[tokens].astype(np.int64), starts)
             before = _before(tokens, sizes, found.index(END))
-            single = filter_counts(bloom, word_keys(hashes))
-            keys, back = np.unique(pair_keys(hashes[tokens], hashes[before]), return_inverse=True)
-            pair = filter_counts(bloom, keys)[back]
+            read = LEVEL_COUNTS[seen][np.unique(block_keys(hashes, tokens, before), return_inverse=True)[1]]
+            pair, single = read[:len(tokens)], read[len(tokens):]
             context = np.maximum(single[before], pair)
             share = np.divide(pair, context, out=np.zeros(len(pair)), where=context > 0)
             plain = ((single + 1) / (q + v + 1))[tokens]
@@ -294,7 +309,8 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mix: flo
         return pa.concat_tables(out)
 
     kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    parts_of = exact.where("block is not null").select("block", "part", "counts")
+    parts_of = exact.where("block is not null").select("block", "part", "counts", F.lit(None).cast("binary").alias("levels"))
+    parts_of = parts_of.unionByName(climbed.select("block", "part", F.lit(None).cast("binary").alias("counts"), "levels"))
     return blocks.select("block", "ids", "held", "sizes", "tokens", "words").groupBy("block").cogroup(parts_of.groupBy("block")).applyInArrow(run, kind)
 
 

@@ -205,6 +205,44 @@ def test_filter_counts():
     assert np.mean(language_model.filter_counts(bloom, keys + np.uint64(12345)) > 0) < 0.05
 
 
+def test_filter_grows_with_the_input(spark, monkeypatch):
+    # Bits for each training token at every size, seen by a session that has tables of 8 million and of 5 billion tokens.
+    seen = []
+    monkeypatch.setattr(language_model, "filter_levels", lambda blocks, ranges, bits: seen.append(ranges * bits) or blocks.selectExpr("block", "0 as part", "words as levels"))
+    monkeypatch.setattr(language_model, "exact_counts", lambda blocks, ranges: blocks.sparkSession.createDataFrame([(None, None, None, n, 10, 1.0)], "block long, part int, counts binary, n long, v long, q double"))
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    for n in (8_000_000, 5_000_000_000):
+        language_model.scores(docs)
+    assert seen == [12 * 8_000_000, 12 * 5_000_000_000]
+
+
+def test_filter_levels_of_segments(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "BYTES_PER_RANGE", 500)
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 3000)
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, brute.sentence(rng, 200)) for i in range(60)], "doc_id long, text string").repartition(3)
+    blocks = language_model.token_blocks(docs).localCheckpoint()
+    n = sum(r.trained for r in blocks.select("trained").collect())
+    ranges, bits = 64, 12 * n // 64 // 8 * 8
+    levels = {}
+    for r in language_model.filter_levels(blocks, ranges, bits).collect():
+        levels.setdefault(r.block, {})[r.part] = language_model._unpack(r.levels, np.uint8)
+    total, right = Counter(), 0
+    each = {}
+    for r in blocks.collect():
+        found = language_model.zstandard.ZstdDecompressor().decompress(r.words).split(b" ")
+        hashes, tokens, sizes = language_model.word_hashes(found), language_model._unpack(r.tokens, np.uint32), np.array(r.sizes)
+        before = language_model._before(tokens, sizes, found.index(language_model.END))
+        train = np.repeat(~np.array(r.held), sizes)
+        total.update(language_model.pair_keys(hashes[tokens[train]], hashes[before[train]]).tolist())
+        total.update(language_model.word_keys(hashes[tokens[train]]).tolist())
+        each[r.block] = np.unique(language_model.block_keys(hashes, tokens, before))
+    keys = np.concatenate(list(each.values()))
+    read = np.concatenate([np.concatenate([levels[b][p] for p in sorted(levels[b])]) for b in each])
+    want = np.array([language_model.levels(np.array([total[k]]))[0] if total[k] else 0 for k in keys.tolist()])
+    assert len(read) == len(want) and (read >= want).all() and np.mean(read == want) > 0.95 and len(levels) > 3
+
+
 def test_sharding(spark, rough):
     rows = QUERIES["op8_sharding"](spark, rough).collect()
     values = [(len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in ROWS]
