@@ -321,6 +321,28 @@ def test_passages_at_different_offsets(spark):
         assert any(r.start <= start + 5 and r.end >= start + 95 and r.other_start <= other_start + 5 and r.other_end >= other_start + 95 for r in rows)
 
 
+@pytest.mark.parametrize("few", [9, 1])
+def test_passages_whose_parts_came_first_elsewhere(spark, monkeypatch, few):
+    monkeypatch.setattr(passages, "FEW", few)
+    rng = random.Random(31)
+    word = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    passage = word(75)
+    docs = [word(30) + passage[:49] + word(30), word(20) + passage[27:] + word(30), word(10) + passage + word(40), word(50) + passage + word(10)]
+    # Parts that lie between the two texts with the whole passage.
+    docs[3:3] = [word(5) + passage[:40] + word(9), word(5) + passage[35:] + word(9)]
+    rows = passages.repeated_passages(spark.createDataFrame([(i + 1, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")).collect()
+    assert any((r.doc_id, r.other_id) == (6, 3) and r.start <= 50 and r.end >= 125 for r in rows)
+
+
+def test_frequent_seeds_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(passages, "OCCURRENCES_PER_SALT", 5)
+    rng = random.Random(32)
+    passage = brute.sentence(rng, 80)
+    docs = spark.createDataFrame([(i, brute.sentence(rng, 30) + passage + brute.sentence(rng, 30)) for i in range(60)], "doc_id long, text string")
+    rows = passages.repeated_passages(docs).collect()
+    assert {r.doc_id for r in rows if r.other_id == 0} == set(range(1, 60))
+
+
 def test_quality_classifier(spark):
     rng = random.Random(3)
     rows, labels = [], []
