@@ -343,6 +343,19 @@ def test_frequent_seeds_are_salted(spark, monkeypatch):
     assert {r.doc_id for r in rows if r.other_id == 0} == set(range(1, 60))
 
 
+@pytest.mark.parametrize("length, every", [(60, 6), (60, 7), (60, 8), (100, 6), (100, 7)])
+def test_passages_with_spread_edits(spark, length, every):
+    rng = random.Random(length + every)
+    word = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    docs = []
+    for i in range(40):
+        passage = word(length)
+        edited = [f"edit{i}x{k}" if k % every == every - 1 else w for k, w in enumerate(passage)]
+        docs += [(2 * i, " ".join(word(30) + passage + word(20))), (2 * i + 1, " ".join(word(10) + edited + word(40)))]
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in rows} == {(2 * i + 1, 2 * i) for i in range(40)}
+
+
 def test_quality_classifier(spark):
     rng = random.Random(3)
     rows, labels = [], []
