@@ -1,14 +1,14 @@
 """Cross-document line frequency: lines many documents of a host share are removed, depleted documents rejected.
 
 Every line is normalised (ASCII lower case, digits to 0, white space squeezed) and hashed. Per host and line hash
-the distinct documents are counted. Exact copies and most near copies of a document count once: a document counts by
-its family, the smallest line hash it has, so a text that was copied often does not make its own lines common.
+the distinct documents are counted. Copies of a document count once: a document counts by the hash of its set of lines, so a text
+that was copied often does not make its own lines common, while different texts that share a line all count.
 A line is common when more than ``max_docs`` documents of its host have it and more than ``max_share`` of them.
 A document is depleted when removing common lines leaves less than ``min_left`` of its words.
 
 All of it is built-in functions. One pass over the texts stores the counts and line hashes of each row; texts are not
-shuffled. (host, family, line) rows are combined before the shuffle, and the second level counts families of a line, so
-that a line which a third of all documents share is spread over its families. Common lines are a table of few rows (each
+shuffled. (host, copy, line) rows are combined before the shuffle, and the second level counts the copies of a line once, so
+that a line which a third of all documents share is spread over its documents. Common lines are a table of few rows (each
 takes ``max_docs`` documents); Spark broadcasts it only under the session's own threshold, else it splits the hot keys.
 
 Defined results: a null text has no words and is rejected by the base rules, an empty one too. A null host is a
@@ -74,19 +74,20 @@ def base_counts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def doc_lines(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text: str = "text") -> DataFrame:
-    """Per row: id, key, host, base counts, the (hash, words) of each line and the family."""
+    """Per row: id, key, host, base counts, the (hash, words) of each line and the hash of its set of lines (``copy``)."""
     df = docs.select(
         F.col(doc_id).alias("doc_id"), row_key(F.col(text)).alias("rk"), F.col(host).alias("host"), F.col(text).alias("text"))
     df = base_counts(df, "text").withColumn("keys", line_keys(text_or_empty(F.col("text"))))
-    return df.withColumn("family", F.array_min("keys.h")).drop("text")
+    lines = F.array_sort(F.array_distinct("keys.h"))
+    return df.withColumn("copy", F.when(F.size(lines) > 0, F.xxhash64(lines))).drop("text")
 
 
 def common_lines(lines: DataFrame, max_docs: int = 100, max_share: float = 0.01) -> DataFrame:
     """(host, h): hashes of the common lines of each host, from ``doc_lines``."""
-    # Rows (host, family, line), then families counted; both levels combine before the shuffle.
-    seen = lines.select("host", "family", F.explode(F.array_distinct("keys.h")).alias("h")).distinct()
+    # Rows (host, copy, line), then different documents counted; both levels combine before the shuffle.
+    seen = lines.select("host", "copy", F.explode(F.array_distinct("keys.h")).alias("h")).distinct()
     frequent = seen.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs)
-    total = lines.where("family is not null").select(F.col("host").alias("total_host"), "family").distinct()
+    total = lines.where("copy is not null").select(F.col("host").alias("total_host"), "copy").distinct()
     total = total.groupBy("total_host").agg(F.count(F.lit(1)).alias("docs"))
     over = frequent.join(total, F.col("host").eqNullSafe(F.col("total_host")))
     return over.where(F.col("n") > F.col("docs") * F.lit(max_share)).select("host", "h")
@@ -107,7 +108,7 @@ def verdicts(docs: DataFrame, doc_id: str = "doc_id", host: str = "source", text
     return (
         df.withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (F.col("n_left") >= F.col("n_words") * F.lit(min_left)))
-        .drop("keys", "family", "host")
+        .drop("keys", "copy", "host")
     )
 
 

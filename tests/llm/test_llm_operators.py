@@ -87,6 +87,14 @@ def test_common_lines_deplete_documents(spark):
     assert 90 not in kept and kept[3] == rows[3][1].split("\n", 1)[1] and kept[200] == copied
 
 
+def test_common_lines_count_every_different_document(spark):
+    # One shared line and one own line each; for about half of them the shared line's hash is the smaller one.
+    rows = [(k * 100 + i, f"shared line {k}\nown line {k} of {'abcdefghij'[i // 10]} {'abcdefghij'[i % 10]}", f"h{k}") for k in range(20) for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    common = quality_rules.common_lines(quality_rules.doc_lines(docs), max_docs=10, max_share=0.1)
+    assert {r.host for r in common.collect()} == {f"h{k}" for k in range(20)} and common.count() == 20
+
+
 def test_substring_removal(spark, rough):
     df = QUERIES["op4_substring_removal"](spark, rough)
     values = brute.substring_removal([r[:2] for r in ROWS])
