@@ -364,6 +364,23 @@ def test_passages_with_spread_edits(spark, length, every):
     assert {(r.doc_id, r.other_id) for r in rows} == {(2 * i + 1, 2 * i) for i in range(40)}
 
 
+def test_chains_of_one_document_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(passages, "CHAINS_PER_SALT", 10)
+    rng = random.Random(41)
+    text = brute.sentence(rng, 700)
+    docs = spark.createDataFrame([(i, text) for i in range(100)], "doc_id long, text string")
+    wanted = spark.createDataFrame([(i, i % 2, 0, 200, 530) for i in range(100)], "chain long, side int, doc_id long, lo int, hi int")
+    rows = passages.word_ranges(docs.where("doc_id = 0"), wanted)
+    assert "collect_list" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    found = {}
+    for r in rows.collect():
+        found.setdefault(r.chain, []).append(r.asDict())
+    h = (passages.word_hashes(passages.words(text.encode())) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    assert len(found) == 100 and all(passages.range_words(p, c % 2).tolist() == h[200:530].tolist() for c, p in found.items())
+    out = passages.repeated_passages(docs).collect()
+    assert {r.doc_id for r in out if r.other_id == 0 and (r.start, r.end, r.other_start, r.other_end, r.share) == (0, 700, 0, 700, 1.0)} == set(range(1, 100))
+
+
 def test_quality_classifier(spark):
     rng = random.Random(3)
     rows, labels = [], []
