@@ -3,7 +3,8 @@
 The classifier learns from at most ``SAMPLE`` labelled documents, those whose hashed ids are smallest. One half of them gives
 weights of words and their runs of four and five characters (log odds of the document shares in either class, for the
 ``FEATURES`` parts whose shares differ most), the other half a logistic
-fit of a few numbers per text: weight sums, length, symbols, repetition. Both bounds are parameters; the rest covers all rows.
+fit of a few numbers per text: weight sums, length, symbols, repetition. A word of more than ``LONGEST`` characters counts as pieces
+of that length, which overlap so that every run of its characters is in one. Both bounds are parameters; the rest covers all rows.
 
 Every document's evidence is its logit. Grouped sums per path (n, sum, sum of squares of the probabilities) give path means;
 paths add up to hosts and hosts to the table. Between-group variances come from these moments; a group's posterior is its mean
@@ -31,14 +32,28 @@ from panelmill.llm.shingles import words
 SAMPLE = 20_000
 FEATURES = 30_000
 MEMO_WORDS = 500_000
+LONGEST = 80
+OVERLAP = 4  # one character less than the longest run
 SALT = 32
 SYMBOLS = bytes(sorted(b"#*$%&|<>{}[]\\^~@"))
 NUMBERS = ["constant", "quality_sum", "toxic_sum", "toxic_top", "log_words", "symbols", "distinct"]
 
 
-def parts_of(word: bytes) -> set[str]:
-    """A word and its runs of four and five characters, with its ends marked."""
-    w = "^" + word.decode("utf-8", "replace")[:80] + "$"
+def pieces_of(text: bytes | None) -> Iterator[bytes | str]:
+    """The words of a text; long ones as pieces, characters with the word's ends marked."""
+    for word in words(text):
+        w = word.decode("utf-8", "replace") if len(word) > LONGEST else ""
+        if len(w) <= LONGEST:
+            yield word
+            continue
+        w = "^" + w + "$"
+        for at in range(0, len(w) - OVERLAP, LONGEST - OVERLAP):
+            yield w[at:at + LONGEST]
+
+
+def parts_of(word: bytes | str) -> set[str]:
+    """A word, with its ends marked, or a piece of one, and its runs of four and five characters."""
+    w = "^" + word.decode("utf-8", "replace") + "$" if isinstance(word, bytes) else word
     return {w, *(w[i:i + 4] for i in range(len(w) - 3)), *(w[i:i + 5] for i in range(len(w) - 4))}
 
 
@@ -49,7 +64,7 @@ class WordWeights(dict):
         super().__init__()
         self.weights = weights
 
-    def __missing__(self, word: bytes) -> tuple[float, float, float]:
+    def __missing__(self, word: bytes | str) -> tuple[float, float, float]:
         known = [self.weights[p] for p in parts_of(word) if p in self.weights]
         out = (sum(q for q, _ in known), sum(t for _, t in known), max((t for _, t in known), default=0.0)) if known else (0.0, 0.0, 0.0)
         if len(self) >= MEMO_WORDS:
@@ -60,7 +75,7 @@ class WordWeights(dict):
 
 def text_numbers(text: bytes | None, weights: WordWeights) -> list[float]:
     """The numbers that the logistic fit sees, in the order of ``NUMBERS``."""
-    found = words(text)
+    found = list(pieces_of(text))
     if not found:
         return [1.0] + [0.0] * (len(NUMBERS) - 1)
     distinct = set(found)
@@ -110,7 +125,7 @@ class Classifier:
             total: dict[str, list[int]] = {}
             for batch in batches:
                 for text, quality, toxic in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("quality").to_pylist(), batch.column("toxic").to_pylist()):
-                    for part in set().union(*map(parts_of, set(words(text)))):
+                    for part in set().union(*map(parts_of, set(pieces_of(text)))):
                         c = total.setdefault(part, [0, 0, 0])
                         c[0] += 1
                         c[1] += quality

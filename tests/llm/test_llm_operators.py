@@ -399,6 +399,22 @@ def test_quality_classifier(spark):
     assert np.mean(right) >= 0.95
 
 
+def test_long_words_count_whole(spark):
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("aeiourstlmn") for _ in range(n))
+    word = "x" + letters(1000)
+    pieces = list(quality_classifier.pieces_of(word.encode()))
+    runs = set().union(*map(quality_classifier.parts_of, pieces))
+    assert {f"^{word}$"[i:i + k] for k in (4, 5) for i in range(1003 - k)} <= runs and max(map(len, pieces)) <= 80
+    assert list(quality_classifier.pieces_of(b"Two words")) == [b"two", b"words"]
+    # Texts without blanks, toxic only far behind the first 80 characters.
+    rows = [(i, "\u00a0".join(letters(9) for _ in range(30)) + ("\u00a0vilest\u00a0scoundrel\u00a0" if i % 4 == 0 else "\u00a0") + letters(9), "en", "s") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.p_toxic for r in quality_classifier.classify(docs, labels).collect()}
+    assert np.mean([(out[i] >= 0.5) == (i % 4 == 0) for i in range(300, 400)]) >= 0.95
+
+
 def test_sparse_sites_stay_near_the_prior(spark):
     rows = [(i, "big", "a", 3.0 if i % 2 else 1.0, 0.0) for i in range(200)] + [(900 + i, "bad", "a", -3.0, 0.0) for i in range(200)] + [(2000, "one", "a", -3.0, 0.0)]
     scored = spark.createDataFrame(rows, "doc_id long, host string, path string, quality double, toxic double")
