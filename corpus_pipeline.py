@@ -21,10 +21,11 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id (five-word shingles, similarity 0.8 or more).
 
-    Rows that share the kept id and text stay once; rows with a null id stay all.
+    Rows that share the kept id and text stay once, different texts under one kept id stay all; rows with a null id stay all.
     """
     kept = minhash.near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.join(kept.where("__id is not null"), docs["doc_id"] == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(kept.where("__id is not null"), docs["doc_id"] == kept["__id"], "left_semi")
+    named = named.withColumn("__rk", common.row_key(F.col("text"))).dropDuplicates(["doc_id", "__rk"]).drop("__rk")
     return named.unionByName(docs.where("doc_id is null"))
 
 

@@ -442,6 +442,14 @@ def test_pipeline_stages_on_rough_rows(spark, rough):
     assert got(masked.where("doc_id between 9 and 22"), "doc_id", "text") == sorted(((r[0], r[1]) for r in ROWS if r[0] is not None and 9 <= r[0] <= 22), key=KEY)
 
 
+def test_different_texts_under_one_id_stay(spark):
+    import corpus_pipeline
+    rng = random.Random(15)
+    one, two, three = (brute.sentence(rng, 60) for _ in range(3))
+    docs = spark.createDataFrame([(1, one), (1, two), (1, one), (2, three), (None, one)], "doc_id long, text string")
+    assert got(corpus_pipeline.drop_near_duplicates(spark, docs, ""), "doc_id", "text") == sorted([(1, one), (1, two), (2, three), (None, one)], key=KEY)
+
+
 def test_pipeline_runs(spark, rough):
     import corpus_pipeline
     out = corpus_pipeline.run(spark, rough)
