@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from panelmill.llm.alignment import op12_token_alignment
 from panelmill.llm.bpe import op6_bpe
 from panelmill.llm.decontamination import op1_decontamination
 from panelmill.llm.language_model import op7_lm_scores
+from panelmill.llm.learned_index import op13_neighbours
 from panelmill.llm.minhash import op10_near_dedup
 from panelmill.llm.passages import op9_fuzzy_passages
 from panelmill.llm.quality_classifier import op2_quality_classifier
@@ -12,6 +14,7 @@ from panelmill.llm.quality_rules import op3_quality_rules
 from panelmill.llm.secrets import op5_secrets
 from panelmill.llm.sharding import op8_sharding
 from panelmill.llm.substring_dedup import op4_substring_removal
+from panelmill.llm.vector_codes import op11_vector_codes
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_fuzzy_passages": op9_fuzzy_passages,
     "op10_near_dedup": op10_near_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_neighbours": op13_neighbours,
 }
 
 # Contamination has a SQL form; the other operators are tested against brute force.
