@@ -30,6 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
@@ -118,7 +119,7 @@ def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, limits: np.ndarray) -> tupl
     Ends rise over the whole batch. ``limits`` are the byte offsets where lanes end; a lane has the tokens that end in it.
     """
     stop_a, stop_b = np.searchsorted(ends_a, limits, "right"), np.searchsorted(ends_b, limits, "right")
-    i, j = np.r_[0, stop_a[:-1]], np.r_[0, stop_b[:-1]]
+    i, j = np.r_[0, stop_a][:-1], np.r_[0, stop_b][:-1]
     links: list[tuple[np.ndarray, np.ndarray]] = []
     while True:
         live = (i < stop_a) & (j < stop_b)
@@ -189,16 +190,17 @@ def align_texts(texts: Sequence[str], va: Tokens, vb: Tokens) -> Aligned:
     return Aligned(a, b, text_a, text_b, np.searchsorted(link_a, text_a), link_a, link_b)
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    """(position of the first, texts) of at most BATCH_BYTES characters, or of one text."""
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of texts of at most BATCH_BYTES together, or of one text."""
+    sizes = np.asarray(pc.binary_length(texts).fill_null(0), dtype=np.int64).tolist()
     start, size = 0, 0
-    for k, text in enumerate(texts):
-        if k > start and size + len(text) > BATCH_BYTES:
-            yield start, texts[start:k]
+    for k, more in enumerate(sizes):
+        if k > start and size + more > BATCH_BYTES:
+            yield start, k - start
             start, size = k, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, texts[start:]
+        size += more
+    if start < len(sizes):
+        yield start, len(sizes) - start
 
 
 def _lists(values: np.ndarray, starts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -211,10 +213,10 @@ def _aligned(docs: DataFrame, path_a: str, path_b: str, doc_id: str, text: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         va, vb = vocabularies(path_a, path_b)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for start, some in chunks(texts):
-                arrays = columns(align_texts(some, va, vb), va, vb)
-                ids = batch.column("doc_id").slice(start, len(some))
+            for start, n in chunks(batch.column("text")):
+                texts = [t or "" for t in batch.column("text").slice(start, n).to_pylist()]
+                arrays = columns(align_texts(texts, va, vb), va, vb)
+                ids = batch.column("doc_id").slice(start, n)
                 yield pa.RecordBatch.from_arrays([ids, *arrays.values()], names=["doc_id", *arrays])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
