@@ -594,31 +594,6 @@ def d24(spark, sf):
     return rounded(cells.select("yr", "area", "ind", "col_int", "num", "del_emp"), "num", "del_emp")
 
 
-@query("m13_growth_models")
-def growth_family(spark, sf):
-    """The family of weighted growth regressions on a panel with neighbouring supply, with shocks added."""
-    f = facts(spark, sf)
-    supply = f.where(F.col("flag") == "R").groupBy("area").agg(F.sum("wt").alias("num"))
-    pops = f.groupBy("area").agg(F.sum("wt").alias("pop"))
-    measures = supply.join(pops, "area").withColumn("kind", F.lit("R"))
-    near = allocation.neighbour_totals(
-        measures, edges(spark, sf), ["area"], ["adj"], "kind", "num", "pop", distinct_sizes=False, complete=False
-    ).where(F.col("kind").isNotNull())
-    panel = panels.long_difference(
-        area_panel(spark, sf, ENDS), ["area"], "yr", [1995, 2001], growth="emp", exp_growth="exp", w_growth="w", col_growth="frac_col"
-    )
-    shock = shocks.shift_share(facts_job(spark, sf, ENDS), ["area"], "ind", "yr", "wt", 1995)
-    rows = panel.where("yr = 1995").join(near, "area").join(shock.drop("yr"), "area")
-    return fit_many(rows, growth_models("num_per_pop", "pop_adj", ["shocks"]))
-
-
-@query("k5_effect_per_bin")
-def effect_per_bin(spark, sf):
-    panel = log_change_next(area_panel(spark, sf), ["area"], "yr", growth="emp")
-    binned = quantile_bins(panel, "exp", 4, "bin")
-    return effect_by_bin(binned, design("growth", "frac_col", weight="emp"), "bin", 4, "frac_col")
-
-
 @query("m9_choice_models")
 def choice_models(spark, sf):
     """Clustered logit with factors, z-scored exposure and the area's base rate."""
@@ -658,37 +633,6 @@ def mover_share(spark, sf):
     return rounded(migration.mover_share(facts_flow(spark, sf), "yr", "wt", moved), "mig_frac")
 
 
-def controlled_panel(spark, sf):
-    """Area panel at both ends with the controls the wage models use."""
-    wage, size = F.col("wage"), F.col("wt")
-    shares = {
-        "frac_col": F.col("coll"), "frac_man": F.col("flag") == "A", "frac_trans": F.col("flag") == "N",
-        "frac_trade": wage < 30000, "frac_public": wage > 80000, "frac_young": size <= 15, "frac_old": size >= 35,
-    }
-    return panels.weighted_panel(
-        facts(spark, sf, ENDS), ["area", "yr"], "wt", {"exp": "score", "w": "wage", "age": "disc"}, shares, {"emp": None}
-    )
-
-
-@query("m2_wage_models")
-def wage_models_fit(spark, sf):
-    """Wage change on exposure: plain, with controls, and with state effects; clustered by state."""
-    panel = panels.wage_response(controlled_panel(spark, sf), ["area"], "yr", "w", "exp").join(areas(spark, sf), "area")
-    return fit_many(panel, wage_models("emp", factor_levels(areas(spark, sf), "state")), cluster="state")
-
-
-@query("m5_degree_models")
-def degree_models_fit(spark, sf):
-    """Degree changes and cumulated degrees on exposure, base counts and their products."""
-    kinds = {"comp": F.col("flag") == "R", "total": F.col("flag").isNotNull()}
-    counts = reused(degrees.degree_counts(facts(spark, sf), ["area"], "yr", "wt", kinds))
-    changes = degrees.degree_changes(counts, ["area"], "yr", "comp", "total").where("yr = 1995")
-    changes = changes.select("area", "total", F.col("del_count").alias("del_comp"))
-    logs = degrees.cumulated_logs(counts, ["area"], "yr", 1995, ["comp", "total"])
-    base = zscore(controlled_panel(spark, sf).where("yr = 1995"), exp="exp")
-    return fit_many(base.join(logs, "area").join(changes, "area"), degree_models())
-
-
 @query("m3_condition_models")
 def condition_models_fit(spark, sf):
     """Choice on the growth and premium the area showed one period earlier, with state effects."""

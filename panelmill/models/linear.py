@@ -88,10 +88,20 @@ def fit_linear(df: DataFrame, d: Design, by: Sequence[str] = (), cluster: str |
     numeric = [f"__x{i}" for i in range(len(d.terms))] + ["__y"]
     means = rows.agg(F.array(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in numeric]).alias("s")).scalar()
     rows = rows.withColumn("__shift", means).withColumns({c: F.col(c) - F.col("__shift")[i] for i, c in enumerate(numeric)}).drop("__shift")
+    return centred_fit(rows, d, tuple(by), cluster, means)
+
+
+def centred_fit(rows: DataFrame, d: Design, by: tuple[str, ...], cluster: str | None, shift: Column, absorbed: int = 0) -> LinearFit:
+    """Fit of prepared rows whose columns are less ``shift``; ``absorbed`` degrees of freedom went to factors taken out before.
+
+    With absorbed factors the columns are means-free, so the intercept is zero; its place in the rank is part of ``absorbed``.
+    """
+    keys = key_names(by)
     dense, w, y = dense_columns(d), F.col("__w"), F.col("__y")
     cells = moment_cells(rows, d, keys, dense, w, [w * x * y for x in dense], w * y * y, F.lit(1))
-    full = full_moments(cells, d, keys).withColumn("shift", means)
+    full = full_moments(cells, d, keys).withColumn("shift", shift)
     size = len(d.names)
+    more = absorbed - 1 if absorbed else 0
     fields = T.StructType([f for f in full.schema.fields if f.name in keys])
     schema = T.StructType([*fields.fields, *T._parse_datatype_string(FIT_FIELDS).fields])
 
@@ -101,7 +111,7 @@ def fit_linear(df: DataFrame, d: Design, by: Sequence[str] = (), cluster: str |
             for _, row in pdf.iterrows():
                 m = np.asarray(row["m"], dtype=float).reshape(size + 1, size + 1)
                 beta, inverse, rss, kept = algebra.sweep(m)
-                n, rank = float(row["n"]), int(kept.sum())
+                n, rank = float(row["n"]), int(kept.sum()) + more
                 tss = float(m[size, size] - m[0, size] ** 2 / m[0, 0])
                 left = n - rank
                 r2 = 1 - rss / tss if tss > 0 else np.nan

@@ -57,23 +57,25 @@ INDUSTRY_SHARES = ("frac_man", "frac_trans", "frac_trade", "frac_public")
 PANEL_CONTROLS = ("age", "w", "frac_col", *INDUSTRY_SHARES, "frac_young", "frac_old")
 
 
-def growth_models(supply: str, size: str, extra: Sequence[str] = ()) -> dict[str, Design]:
-    """Growth of employment, exposure, wages and college share on degree supply, weighted by size."""
-    right = [supply, size, "exp", *extra]
+def growth_models(supply: str, size: str, extra: Sequence[str] = (), weight: str | None = None) -> dict[str, Design]:
+    """Growth of employment, exposure, wages and college share on degree supply, weighted by size unless another weight is named."""
+    right, weight = [supply, size, "exp", *extra], weight or size
     outcomes = ("exp_growth", "growth", "w_growth", "col_growth")
-    return {"exp": design("exp", supply, size, weight=size), **{y: design(y, *right, weight=size) for y in outcomes}}
+    return {"exp": design("exp", supply, size, weight=weight), **{y: design(y, *right, weight=weight) for y in outcomes}}
 
 
-def wage_models(weight: str, levels: Sequence | None = None, area: str = "state") -> dict[str, Design]:
-    """Wage change on exposure: alone, with controls, with controls and area effects."""
-    made = {
+def wage_models(weight: str | None) -> dict[str, Design]:
+    """Wage change on exposure: alone, with shares, with all controls."""
+    return {
         "plain": design("del_w", "exp", weight=weight),
         "shares": design("del_w", "exp", "frac_col", *INDUSTRY_SHARES, weight=weight),
         "controls": design("del_w", "exp", *PANEL_CONTROLS, weight=weight),
     }
-    if levels is not None:
-        made["area_effects"] = design("del_w", "exp", *PANEL_CONTROLS, factors={area: levels}, weight=weight)
-    return made
+
+
+def within_models(weight: str | None) -> dict[str, Design]:
+    """Those of the wage models that are fitted with area effects absorbed."""
+    return {"area_effects": design("del_w", "exp", *PANEL_CONTROLS, weight=weight)}
 
 
 def degree_models() -> dict[str, Design]:
