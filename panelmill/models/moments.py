@@ -84,9 +84,20 @@ def full_moments(cells: DataFrame, d: Design, keys: Sequence[str]) -> DataFrame:
                 row["n"] = float(part["n"].sum())
                 yield row
 
-    blocks = cells.mapInPandas(partial, schema)
+    def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = len(d.terms) + 2
+        at = np.zeros((size, size), dtype=int)
+        for p, (i, j) in enumerate(upper_pairs(size)):
+            at[i, j] = at[j, i] = p
+        for pdf in batches:
+            if len(pdf):
+                out = pdf[keys].copy()
+                out["m"] = list(np.stack(pdf["m"].to_list())[:, at.ravel()])
+                out["n"] = pdf["n"].astype(float)
+                yield out
+
     # Without factors a group is a single cell already.
-    return sum_blocks(blocks, keys) if d.factors else blocks
+    return sum_blocks(cells.mapInPandas(partial, schema), keys) if d.factors else cells.mapInPandas(single, schema)
 
 
 def sum_blocks(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -98,25 +109,48 @@ def sum_blocks(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     return whole.select(*keys, F.slice("m", F.lit(1), F.size("m") - 1).alias("m"), F.element_at("m", -1).alias("n"))
 
 
-def cluster_meat(rows: DataFrame, d: Design, keys: Sequence[str], residual: Column, dense: Sequence[Column]) -> DataFrame:
-    """Sum over clusters of the outer product of summed scores; ``n`` counts the clusters.
+def cluster_scores(rows: DataFrame, d: Design, keys: Sequence[str], residual: Column, dense: Sequence[Column]) -> DataFrame:
+    """(keys, __c, s): the summed scores of each cluster as (position, value), only of factor levels that it holds.
 
-    The first aggregation sums scores per cluster (partial sums absorb large clusters), the second
-    multiplies the short score vectors.
+    Rows are reduced to cells of cluster and levels first (partial sums absorb large clusters); a cell's constant score is that of its
+    levels' dummies.
     """
     keys = list(keys)
-    scores = [F.sum(residual * x) for x in dense]
-    for f, factor in zip(factor_columns(d), d.factors):
-        scores += [F.sum(F.when(F.col(f) == level, residual).otherwise(0.0)) for level in range(1, len(factor.levels))]
-    per_cluster = rows.groupBy(*keys, "__c").agg(F.array(*scores).alias("m"), F.lit(1.0).alias("n")).drop("__c")
+    cells = rows.groupBy(*keys, "__c", *factor_columns(d)).agg(F.array(*[F.sum(residual * x) for x in dense]).alias("s"))
+    entry = lambda at, value: F.struct(at.cast("int").alias("at"), value.alias("v"))
+    entries = F.array(*[entry(F.lit(i), F.col("s")[i]) for i in range(len(dense))])
+    for f, offset in zip(factor_columns(d), d.offsets):
+        own = F.array(entry(F.col(f) + offset, F.col("s")[0]))
+        entries = F.concat(entries, F.when(F.col(f) > 0, own).otherwise(F.slice(own, 1, 0)))
+    sums = cells.select(*keys, "__c", F.explode(entries).alias("e")).groupBy(*keys, "__c", F.col("e.at").alias("at")).agg(F.sum("e.v").alias("v"))
+    return sums.groupBy(*keys, "__c").agg(F.collect_list(F.struct("at", "v")).alias("s"))
+
+
+def cluster_meat(rows: DataFrame, d: Design, keys: Sequence[str], residual: Column, dense: Sequence[Column]) -> DataFrame:
+    """Sum over clusters of the outer product of summed scores; ``n`` counts the clusters."""
+    keys, size = list(keys), len(d.names)
+    if d.factors:
+        per_cluster = cluster_scores(rows, d, keys, residual, dense)
+        schema = T.StructType([*[f for f in per_cluster.schema.fields if f.name in keys], T.StructField("m", T.ArrayType(T.DoubleType())), T.StructField("n", T.DoubleType())])
+    else:
+        per_cluster = rows.groupBy(*keys, "__c").agg(F.array(*[F.sum(residual * x) for x in dense]).alias("m"), F.lit(1.0).alias("n")).drop("__c")
+        schema = block_schema(per_cluster, keys)
 
     def outer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for _, part in _groups(pdf, keys):
-                s = np.stack([np.asarray(v, dtype=float) for v in part["m"]])
                 row = part[keys].head(1).copy()
-                row["m"] = [(s.T @ s).ravel()]
+                if d.factors:
+                    total = np.zeros((size, size))
+                    for entries in part["s"]:
+                        at = np.array([e["at"] for e in entries])
+                        v = np.array([e["v"] for e in entries])
+                        total[np.ix_(at, at)] += np.outer(v, v)
+                else:
+                    s = np.stack([np.asarray(v, dtype=float) for v in part["m"]])
+                    total = s.T @ s
+                row["m"] = [total.ravel()]
                 row["n"] = float(len(part))
                 yield row
 
-    return sum_blocks(per_cluster.mapInPandas(outer, block_schema(per_cluster, keys)), keys)
+    return sum_blocks(per_cluster.mapInPandas(outer, schema), keys)
