@@ -502,13 +502,6 @@ def d19_rates(spark, sf):
     return rounded(rates, "prev_exposure", "mig")
 
 
-@query("d19_move_propensity")
-def d19(spark, sf):
-    rows = movers(spark, sf).withColumn("wage", F.col("wage") / 1000)
-    fit = migration.move_propensity(rows, "prev_exposure", ["wage"], "origin")
-    return fit.coefficients()
-
-
 @query(
     "d20_risk_return",
     f"""WITH {FACTS_JOB}, c AS (SELECT ind, avg(ln(wage)) AS m, stddev_samp(ln(wage)) AS s, sum(wt) AS total FROM persons WHERE wage > 0 GROUP BY ind)
@@ -594,25 +587,6 @@ def d24(spark, sf):
     return rounded(cells.select("yr", "area", "ind", "col_int", "num", "del_emp"), "num", "del_emp")
 
 
-@query("m9_choice_models")
-def choice_models(spark, sf):
-    """Clustered logit with factors, z-scored exposure and the area's base rate."""
-    rows = facts_state(spark, sf).withColumn("ret", flag(F.col("flag") == "R")).withColumn("period", period_start("yr", 2))
-    rates = did.base_rates(rows, ["area"], "period", "ret")
-    conditions = zscore(area_panel(spark, sf).where("yr = 1995").select("area", "exp", "frac_col"), exp_norm="exp").drop("exp")
-    data = did.with_base_rate(rows, rates, ["area"], "period", 1994).join(conditions, "area")
-    factors = {"yr": factor_levels(rows, "yr"), "disc": factor_levels(rows, "disc")}
-    fit = fit_logit(data, design("ret", "pre_z", "frac_col", "exp_norm", factors=factors), cluster="area", patterns=True)
-    return fit.coefficients()
-
-
-@query("k10_validated_scores")
-def validated(spark, sf):
-    labels = table(spark, sf, "labels").select("doc_id", "quality")
-    docs = table(spark, sf, "documents").select("doc_id", F.log1p("n_chars").alias("size"))
-    return exposure.validate_scores(labels.join(docs, "doc_id"), "doc_id", "quality", ["size"], replicates=5)
-
-
 @query(
     "a4_outcome_rates",
     f"""WITH {FACTS}, f AS (SELECT area, wt, CASE WHEN flag = 'R' THEN 1 WHEN flag = 'A' THEN 0 END AS o FROM facts)
@@ -631,20 +605,3 @@ def outcome_rates(spark, sf):
 def mover_share(spark, sf):
     moved = F.col("state") != F.col("origin")
     return rounded(migration.mover_share(facts_flow(spark, sf), "yr", "wt", moved), "mig_frac")
-
-
-@query("m3_condition_models")
-def condition_models_fit(spark, sf):
-    """Choice on the growth and premium the area showed one period earlier, with state effects."""
-    bins = year_bins(spark, 1995, 2, 3).withColumnRenamed("year", "yr")
-    rows = facts_state(spark, sf).join(bins, "yr")
-    wide = cohorts.cohort_conditions(rows, ["state"], "flag", "grp", "rank", 1, 3, "wage", "wt", COHORT_KINDS, ("R", "N"))
-    overall = cohorts.wage_growth(rows, ["state", "grp"], "rank", 1, 3, "wage", "state_growth")
-    later = facts_state(spark, sf).where("yr >= 1998").withColumn("grp", F.lit(2).cast("long"))
-    # Equal conditions are counted before the fit, so persons meet them only in the join.
-    data = later.withColumn("pick", flag(F.col("flag") == "R")).select("state", "grp", "yr", "pick")
-    data = data.join(wide, ["state", "grp"]).join(overall.where("grp = 2"), ["state", "grp"])
-    names = {"growth": "wage_growth_R", "share": "frac_emp_R", "prem": "premium"}
-    scaled = zscore(data, **names)
-    d = condition_models("pick", "growth", "share", "state_growth", "prem", factors={"yr": factor_levels(later, "yr")})
-    return fit_logit(scaled, d, patterns=True).coefficients()

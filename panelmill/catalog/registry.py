@@ -14,7 +14,7 @@ from panelmill.plans.panels import weighted_panel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-MODULES = ("scans", "columns", "joins", "aggregates", "windows", "models", "plots", "recipes", "fits")
+MODULES = ("scans", "columns", "joins", "aggregates", "windows", "models", "plots", "recipes", "fits", "choices")
 
 
 def query(key: str, sql: str | None = None):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelmill.functions.safe import flag
 from panelmill.functions.weighted import wmean, wshare
 from panelmill.models.design import design
-from panelmill.models.logit import LogitFit, fit_logit
+from panelmill.models.logit import fit_logit
 from panelmill.operators.joins import with_role
 from panelmill.operators.panel import attach_base, log_change_prev
 from panelmill.operators.scaling import above_quantile, share_of_total, zscore
@@ -96,9 +96,10 @@ def mover_rows(
     return rows if college is None else rows.withColumn("col", flag(college))
 
 
-def move_propensity(rows: DataFrame, exposure: str, controls: Sequence[str], cluster: str, factors=None) -> LogitFit:
-    """Clustered logit of moving on exposure times college."""
-    return fit_logit(rows, design("mig", *controls, f"{exposure}*col", factors=factors), cluster=cluster)
+def move_propensity(rows: DataFrame, exposure: str, controls: Sequence[str], cluster: str, factors=None, by: Sequence[str] = ()):
+    """Clustered logit of moving on exposure times college, for all rows or for each group."""
+    d = design("mig", *controls, f"{exposure}*col", factors=factors)
+    return fit_logit(rows, d, by=by, cluster=cluster, patterns=True)
 
 
 def move_rates(rows: DataFrame, by: Sequence[str]) -> DataFrame:
