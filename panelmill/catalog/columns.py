@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelmill.catalog.registry import FACTS, FACTS_FLOW, R, facts, facts_flow, query, r, table
+from panelmill.catalog.registry import FACTS, FACTS_FLOW, R, facts, facts_flow, in_years, query, r, table
 from panelmill.functions import codes
 from panelmill.functions.safe import flag, is_finite, ln, ln1p, not_in, number, ratio
 from panelmill.operators.scaling import attach_quantile
@@ -84,7 +84,7 @@ def p8(spark, sf):
 )
 def p9(spark, sf):
     rows = table(spark, sf, "orders").where(
-        F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & F.year("o_orderdate").between(1996, 1998)
+        F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & in_years("o_orderdate", [1996, 1997, 1998])
     )
     return rows.select("o_orderkey", "o_orderpriority")
 

@@ -13,6 +13,7 @@ from panelmill.models.linear import fit_lines
 from panelmill.operators import joins as ops
 from panelmill.operators.reshape import melt, widen
 from panelmill.operators.scaling import attach_stats
+from panelmill.session import reused
 from panelmill.sources.tables import literal_table
 
 
@@ -97,9 +98,8 @@ def j5(spark, sf):
     SELECT area, {Rs('w_1995 w_2001')} FROM a FULL JOIN b USING (area)""",
 )
 def j6(spark, sf):
-    high = area_panel(spark, sf).where(F.col("w") > 53000)
-    a = high.where("yr = 1995").select("area", F.col("w").alias("w_1995"))
-    b = high.where("yr = 2001").select("area", F.col("w").alias("w_2001"))
+    # Each side reads its own year only.
+    a, b = (area_panel(spark, sf, [y]).where(F.col("w") > 53000).select("area", F.col("w").alias(f"w_{y}")) for y in (1995, 2001))
     return rounded(ops.merge(a, b, ["area"], "full"), "w_1995", "w_2001")
 
 
@@ -141,10 +141,8 @@ def j9(spark, sf):
     FROM panel a JOIN panel b USING (area) WHERE a.yr = 1995 AND b.yr = 2001""",
 )
 def j10(spark, sf):
-    panel = area_panel(spark, sf).select("area", "yr", "w")
-    both = ops.merge(
-        panel.where("yr = 1995").drop("yr"), panel.where("yr = 2001").drop("yr"), ["area"], suffixes=("_1995", "_2001")
-    )
+    first, last = (area_panel(spark, sf, [y]).select("area", "w") for y in (1995, 2001))
+    both = ops.merge(first, last, ["area"], suffixes=("_1995", "_2001"))
     return rounded(both.withColumn("d", F.col("w_2001") - F.col("w_1995")), "w_1995", "w_2001", "d")
 
 
@@ -155,7 +153,7 @@ def j10(spark, sf):
 )
 def j11(spark, sf):
     panel = area_panel(spark, sf).select("area", "yr", "w")
-    base = panel.where("yr = 1995").select("area", F.col("w").alias("w_base"))
+    base = area_panel(spark, sf, [1995]).select("area", F.col("w").alias("w_base"))
     return rounded(ops.merge(panel, base, ["area"]), "w", "w_base")
 
 
@@ -165,7 +163,7 @@ def j11(spark, sf):
     JOIN panel q ON p.area = q.area AND p.yr = q.yr - 1""",
 )
 def j12(spark, sf):
-    panel = area_panel(spark, sf).select("area", "yr", "w")
+    panel = reused(area_panel(spark, sf).select("area", "yr", "w"))
     later = ops.shift_key(panel, "yr", -1).withColumnRenamed("w", "w_later")
     return rounded(ops.merge(panel, later, ["area", "yr"]), "w", "w_later")
 
@@ -258,9 +256,8 @@ def j17(spark, sf):
     UNION ALL BY NAME SELECT {R('w', 'w')}, yr, area FROM panel WHERE yr = 2001""",
 )
 def u1(spark, sf):
-    panel = area_panel(spark, sf)
-    a = panel.where("yr = 1995").select("area", "yr", "w")
-    return rounded(a.unionByName(panel.where("yr = 2001").select("w", "yr", "area")), "w")
+    a = area_panel(spark, sf, [1995]).select("area", "yr", "w")
+    return rounded(a.unionByName(area_panel(spark, sf, [2001]).select("w", "yr", "area")), "w")
 
 
 @query(

@@ -152,7 +152,7 @@ def d3(spark, sf):
 )
 def d4(spark, sf):
     f = facts(spark, sf)
-    pops = f.where("yr = 1995").groupBy("area").agg(F.sum("wt").alias("pop"))
+    pops = facts(spark, sf, [1995]).groupBy("area").agg(F.sum("wt").alias("pop"))
     measures = f.groupBy("area", "flag").agg(F.sum("wt").alias("num")).join(pops, "area")
     out = allocation.neighbour_totals(measures, edges(spark, sf), ["area"], ["adj"], "flag", "num", "pop")
     return rounded(out, "num_adj", "pop_adj", "num_per_pop")
@@ -237,6 +237,23 @@ def d8_counts(spark, sf):
     return rounded(concentration.count_concentration(facts_job(spark, sf), ["area", "yr"], "occ", 70, ["PROMO"]), "hh", digits=9)
 
 
+@query(
+    "d8_herfindahl_majors",
+    f"""WITH {FACTS_JOB}, k AS (SELECT area, CAST(floor(yr / 3) * 3 AS BIGINT) AS period, occ FROM persons WHERE occ <> 'PROMO'),
+    c AS (SELECT area, period, occ, count(*) AS n FROM k GROUP BY area, period, occ),
+    s AS (SELECT *, n / sum(n) OVER (PARTITION BY area, period) AS share, sum(n) OVER (PARTITION BY area, period) AS total FROM c),
+    h AS (SELECT area, period, sum(share * share) AS hh FROM s WHERE total > 20 GROUP BY area, period),
+    e AS (SELECT area, round(sum(wt * score) / sum(wt), 9) AS exp FROM facts WHERE yr = 1995 GROUP BY area)
+    SELECT area, period, {R('hh', 'hh', 9)}, exp, exp > median(exp) OVER () AS exp_med FROM h JOIN e USING (area)""",
+)
+def d8_majors(spark, sf):
+    """Concentration over row counts beside the area's exposure, split at its median over areas and periods."""
+    rows = facts_job(spark, sf).withColumn("period", period_start("yr", 3))
+    index = concentration.count_concentration(rows, ["area", "period"], "occ", 20, ["PROMO"])
+    exposed = area_panel(spark, sf, [1995]).select("area", F.round("exp", 9).alias("exp"))
+    return rounded(above_median(index.join(exposed, "area"), "exp", "exp_med"), "hh", digits=9)
+
+
 OCC_SCORED = f"""{FACTS_JOB}, os AS (SELECT occ, avg(score) AS x FROM persons GROUP BY occ),
   sp AS (SELECT p.area, p.yr, p.ind, p.occ, p.wt, os.x FROM persons p JOIN os USING (occ)),
   cells AS (SELECT area, yr, ind, occ, any_value(x) AS x, sum(wt) AS own FROM sp GROUP BY area, yr, ind, occ),
@@ -355,6 +372,32 @@ def d12_places(spark, sf):
     return rounded(shares, "weight", "frac")
 
 
+@query(
+    "d12_mover_classes",
+    f"""WITH {HUBS}, c AS (SELECT p.yr, hub, coll, sum(wt) AS weight FROM persons p JOIN hubs h ON p.state = h.state AND p.yr = h.yr WHERE p.state <> p.origin GROUP BY ALL)
+    SELECT yr, hub, coll, {R('weight', 'weight')}, {R('weight / sum(weight) OVER (PARTITION BY yr)', 'frac')} FROM c""",
+)
+def d12_mover_classes(spark, sf):
+    """Movers by education and the class of the place they live in."""
+    movers = facts_flow(spark, sf).where(F.col("state") != F.col("origin"))
+    return rounded(migration.place_shares(movers, hubs(spark, sf), "state", "yr", "wt", ["coll"]), "weight", "frac")
+
+
+@query(
+    "d12_flows_by_education_only",
+    f"""WITH {HUBS}, s AS (SELECT p.yr, coll, wt FROM persons p JOIN hubs b ON p.state = b.state AND p.yr = b.yr
+      JOIN hubs a ON p.origin = a.state AND p.yr = a.yr - 1 WHERE p.state <> p.origin AND p.origin NOT IN (0, 24)),
+    c AS (SELECT yr, coll, sum(wt) AS weight FROM s GROUP BY ALL)
+    SELECT yr, coll, {R('weight', 'weight')}, {R('weight / sum(weight) OVER (PARTITION BY yr)', 'frac')} FROM c""",
+)
+def d12_education_only(spark, sf):
+    """Movers between classed places by education alone."""
+    flows = migration.hub_flows(
+        facts_flow(spark, sf), hubs(spark, sf), "state", "yr", "state", "origin", "wt", extra=["coll"], keys=(), where=~F.col("origin").isin(0, 24)
+    )
+    return rounded(flows, "weight", "frac")
+
+
 COHORT_KINDS = ["A", "N", "R"]
 
 
