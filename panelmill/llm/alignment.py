@@ -3,7 +3,7 @@
 Both token sequences of a text cover the same bytes. Where a token of A and a token of B end at the same byte, the text can be cut for
 both: the tokens between two cuts are a group, and the two tokens that end together are a link.
 
-The merge runs in lockstep. Texts of a batch are cut at every few kilobytes into lanes, so that long and short texts give lanes of about
+The merge runs in lockstep. Texts of a batch are cut at every few hundred bytes into lanes, so that long and short texts give lanes of about
 one length; one NumPy state vector holds the A and B pointer of every lane. A step compares the two ends of all lanes, emits a link and a
 cut where they agree, moves the pointer that lies behind (both on a cut), and takes finished lanes out.
 
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from panelmill.llm.common import read_table, staged
 
 #: Bytes of text merged at once, and bytes of a lane.
-BATCH_BYTES = 2 << 20
-LANE_BYTES = 1 << 10
+BATCH_BYTES = 1 << 18
+LANE_BYTES = 1 << 9
 #: A and B ids of a pair as one number.
 SHIFT = 20
 BYTE_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
