@@ -12,7 +12,7 @@ from panelmill.operators.joins import null_safe_merge
 from panelmill.session import reused, staged
 
 # Distinct values that are sorted in one task; ranges that a round cuts one range into.
-RANGE_VALUES = 20_000
+RANGE_VALUES = 500_000
 ROUND_RANGES = 1024
 
 
