@@ -315,6 +315,43 @@ def interaction_by_year(spark, sf):
     return interval(table.where("term = 'comp_base:exp'"), "yr")
 
 
+_LEVELS = {"low": -1.0, "middle": 0.0, "high": 1.0}
+_SHIFTED = {n: {"comp_base": "comp_base", "exp": f"exp - ({v})", "comp_base:exp": f"comp_base * (exp - ({v}))"} for n, v in _LEVELS.items()}
+
+
+@query(
+    "m10_effect_at_level",
+    f"""WITH {AREAS}, yl AS (SELECT area, yr, ln(sum(CASE WHEN flag = 'R' THEN wt ELSE 0 END) + 1) AS comp FROM facts GROUP BY area, yr),
+    yb AS (SELECT a.area, a.yr, a.comp, b.comp AS comp_base, e.exp FROM yl a JOIN yl b ON a.area = b.area AND b.yr = 1995
+      JOIN (SELECT area, (exp - avg(exp) OVER ()) / stddev_samp(exp) OVER () AS exp FROM cp WHERE yr = 1995) e ON a.area = e.area WHERE a.yr > 1995),
+    {", ".join(ols(n, 'yb', 'comp', t, keys=['yr']) for n, t in _SHIFTED.items())}
+    {" UNION ALL ".join(f"SELECT yr, '{n}' AS at, {CI} FROM {n} WHERE term = 'comp_base'" for n in _LEVELS)}""",
+)
+def effect_at_level(spark, sf):
+    """Effect of the base count in every year at low, middle and high exposure, with intervals from the joint covariance."""
+    counts = degrees.degree_counts(facts(spark, sf), ["area"], "yr", "wt", {"comp": F.col("flag") == "R"})
+    logs = degrees.yearly_logs(counts, ["area"], "yr", 1995, ["comp"]).where("yr > 1995")
+    base = zscore(controlled(facts(spark, sf, [1995]), ["area"]), exp="exp").select("area", "exp")
+    effects = {n: {"comp_base": 1.0, "comp_base:exp": v} for n, v in _LEVELS.items()}
+    table = fit_family(logs.join(base, "area"), {"m": design("comp", "comp_base*exp")}, by=["yr"], combinations=effects)
+    return interval(table.withColumnRenamed("term", "at"), "yr", "at")
+
+
+@query(
+    "k5_youth_effect_by_bin",
+    f"""WITH {FACTS}, yp AS (SELECT area, yr, CASE WHEN disc <= 0.03::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS youth, sum(wt * score) / sum(wt) AS score, sum(wt) AS pop FROM facts GROUP BY 1, 2, 3),
+    ya AS (SELECT area, yr, youth, sum(score * pop) OVER a / sum(pop) OVER a AS exp, lead(ln(score)) OVER (PARTITION BY area, youth ORDER BY yr) - ln(score) AS del_score FROM yp WINDOW a AS (PARTITION BY area, yr)),
+    {_bins('ya', 'exp')}, yk AS (SELECT *, 1 - youth AS old FROM bb WHERE bin <= 4),
+    {ols('fit', 'yk', 'del_score', {'exp': 'exp', 'old': 'old', 'exp:old': 'exp * old'}, keys=['bin'])} SELECT bin, {CI} FROM fit WHERE term = 'exp'""",
+)
+def youth_effect_by_bin(spark, sf):
+    """Effect of the area's exposure on the young, base plus interaction, per bin of exposure."""
+    rows = panels.age_panel(facts(spark, sf), ["area"], "yr", F.col("disc") <= 0.03, "score", "wt")
+    binned = _binned(rows.withColumn("exp", F.col("area_score")))
+    table = fit_family(binned, {"m": design("del_score", "exp*youth")}, by=["bin"], combinations={"young": {"exp": 1.0, "exp:youth": 1.0}})
+    return interval(table, "bin")
+
+
 YOUTH = f"""{FACTS}, yp AS (SELECT area, yr, CASE WHEN disc <= 0.03::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS youth, sum(wt * score) / sum(wt) AS score, sum(wt) AS pop,
       sum(wt * wage) / sum(wt) AS w, {", ".join(f"sum(CASE WHEN {SHARES[n]} THEN wt ELSE 0 END) / sum(wt) AS {n}" for n in ("frac_col", *INDUSTRY_SHARES))} FROM facts WHERE yr IN (1995, 2001) GROUP BY 1, 2, 3),
     ya AS (SELECT *, sum(score * pop) OVER a / sum(pop) OVER a AS area_score, lead(ln(score)) OVER (PARTITION BY area, youth ORDER BY yr) - ln(score) AS del_score FROM yp WINDOW a AS (PARTITION BY area, yr))"""

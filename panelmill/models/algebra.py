@@ -121,3 +121,16 @@ def coefficient_rows(names, beta, covariance, kept, df: float | None, level: flo
         t = est / se
         rows.append((name, est, se, t, two_sided_p(t, df), est - width * se, est + width * se))
     return rows
+
+
+def combination_rows(names, combinations, beta: np.ndarray, covariance: np.ndarray, kept, df: float | None, level: float) -> list[tuple]:
+    """Rows like those of coefficients for sums of coefficients, each given as term weights; the errors follow from the joint covariance.
+
+    A combination that weighs a dropped term has no estimate.
+    """
+    weights = np.zeros((len(combinations), len(names)))
+    for i, parts in enumerate(combinations.values()):
+        for term, weight in parts.items():
+            weights[i, names.index(term)] = weight
+    usable = [all(kept[names.index(t)] for t, w in parts.items() if w) for parts in combinations.values()]
+    return coefficient_rows(list(combinations), weights @ beta, weights @ covariance @ weights.T, usable, df, level)

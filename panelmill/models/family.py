@@ -147,10 +147,14 @@ def family_blocks(df: DataFrame, family: Family, by: Sequence[str]) -> DataFrame
     return blocks.groupBy(*keys, "pattern").applyInPandas(merged, schema)
 
 
-def fit_family(df: DataFrame, designs: Mapping[str, Design], by: Sequence[str] = (), cluster: str | None = None, level: float = 0.95, absorbed: int = 0) -> DataFrame:
+def fit_family(
+    df: DataFrame, designs: Mapping[str, Design], by: Sequence[str] = (), cluster: str | None = None, level: float = 0.95, absorbed: int = 0,
+    combinations: Mapping[str, Mapping[str, float]] | None = None,
+) -> DataFrame:
     """(by..., model, term, estimate, std_error, statistic, p_value, conf_low, conf_high) of all models.
 
-    ``absorbed`` degrees of freedom went to factors that were taken out of all columns before.
+    ``absorbed`` degrees of freedom went to factors that were taken out of all columns before. With ``combinations`` there is a row for
+    each named sum of coefficients, ``{"name": {"term": weight}}``, in place of the coefficients.
     """
     family, keys = Family.of(designs), key_names(by)
     if by and cluster:
@@ -172,7 +176,8 @@ def fit_family(df: DataFrame, designs: Mapping[str, Design], by: Sequence[str] =
             else:
                 covariance = algebra.clustered(s["inverse"], *meats[name], s["n"], s["rank"])
             beta, covariance = algebra.uncentred(s["beta"], covariance, s["shift"])
-            rows = algebra.coefficient_rows(d.names, beta, covariance, s["kept"], s["n"] - s["rank"], level)
+            fit = (beta, covariance, s["kept"], s["n"] - s["rank"], level)
+            rows = algebra.coefficient_rows(d.names, *fit) if combinations is None else algebra.combination_rows(d.names, combinations, *fit)
             out += [(*(pdf[k].iloc[0] for k in keys), name, *r) for r in rows]
         table = pd.DataFrame(out, columns=[*keys, "model", "term", *NUMBERS])
         for k in keys:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,10 +39,20 @@ class LinearFit:
 
     def coefficients(self, level: float = 0.95, terms: Sequence[str] | None = None) -> DataFrame:
         """(by..., term, estimate, std_error, statistic, p_value, conf_low, conf_high)"""
-        keys = key_names(self.by)
         names = self.design.names
-        size = len(names)
         wanted = set(terms) if terms is not None else set(names)
+        return self._table(lambda *fit: [r for r in algebra.coefficient_rows(names, *fit, level) if r[0] in wanted])
+
+    def combinations(self, combinations: Mapping[str, Mapping[str, float]], level: float = 0.95) -> DataFrame:
+        """The same columns for sums of coefficients: ``{"name": {"term": weight}}``, such as an effect at a level of what it interacts with."""
+        names = self.design.names
+        parts = {n: dict(p) for n, p in combinations.items()}
+        return self._table(lambda *fit: algebra.combination_rows(names, parts, *fit, level))
+
+    def _table(self, rows_of) -> DataFrame:
+        """``rows_of(beta, covariance, kept, df)`` of every group."""
+        keys = key_names(self.by)
+        size = len(self.design.names)
         source = self.solved.select(*keys, "n", "rank", "sigma", "beta", "inverse", "kept", "shift")
         robust = self.meat is not None
         if robust:
@@ -69,8 +79,7 @@ class LinearFit:
                     else:
                         covariance = inverse * (row["sigma"] ** 2 if n > rank else np.nan)
                     beta, covariance = algebra.uncentred(np.asarray(row["beta"]), covariance, np.asarray(row["shift"]))
-                    rows = algebra.coefficient_rows(names, beta, covariance, row["kept"], n - rank, level)
-                    out = pd.DataFrame([r for r in rows if r[0] in wanted], columns=["term", *NUMBERS])
+                    out = pd.DataFrame(rows_of(beta, covariance, row["kept"], n - rank), columns=["term", *NUMBERS])
                     for k in reversed(keys):
                         out.insert(0, k, pd.Series([row[k]] * len(out), dtype=pdf[k].dtype))
                     yield out

@@ -137,6 +137,22 @@ def test_family_equals_single_fits(frame, how):
         assert not same_rows([r for r in got if r.model == name], fit_linear(frame, d, **how).coefficients().collect(), keys)
 
 
+def test_combinations_use_the_joint_covariance(frame):
+    d = design("y", "x1*x2", weight="w")
+    sums = {"at two": {"x1": 1.0, "x1:x2": 2.0}, "gap": {"x1": 1.0, "x2": -1.0}}
+    moved = frame.withColumn("x2", F.col("x2") - 2)
+    for how in ({}, {"cluster": "c"}, {"by": ["k"]}):
+        got = fit_linear(frame, d, **how).combinations(sums).collect()
+        keys = [*how.get("by", []), "term"]
+        assert not same_rows(got, fit_family(frame, {"m": d}, combinations=sums, **how).collect(), keys)
+        # At a shifted regressor the effect is a plain coefficient.
+        plain = {tuple(r[k] for k in keys[:-1]): r for r in fit_linear(moved, d, **how).coefficients(terms=["x1"]).collect()}
+        for r in got:
+            if r.term == "at two":
+                other = plain[tuple(r[k] for k in keys[:-1])]
+                assert close(r.estimate, other.estimate, 1e-7) and close(r.std_error, other.std_error, 1e-7) and close(r.conf_high, other.conf_high, 1e-6)
+
+
 def test_family_keeps_digits_far_from_zero(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, 300)
