@@ -22,6 +22,8 @@ def tables(spark, folder, rows):
     spark.createDataFrame(brute.BENCHMARK if rows else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     labels = [(r[0], int(i % 3 > 0), int(i % 4 == 0)) for i, r in enumerate(rows)] + ([(3, None, 1)] if rows else [])
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    vectors = [(i, [float(i), 1.0, -1.0, 2.0, 0.5, 0.0, 3.0, 1.0], None) for i in range(len(rows))]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder)
 
 
