@@ -13,6 +13,7 @@ from panelmill.catalog.twins import ols, t_width
 from panelmill.functions.safe import flag
 from panelmill.models.design import design
 from panelmill.models.family import fit_family
+from panelmill.models.qr import fit_qr
 from panelmill.models.within import fit_within, fit_within_family
 from panelmill.operators import allocation
 from panelmill.operators.panel import attach_base, log_change_next
@@ -352,6 +353,23 @@ def youth_effect_by_bin(spark, sf):
     return interval(table, "bin")
 
 
+# The twin takes the nearly equal regressors apart row by row, twice, as squared sums would lose the answer.
+NEAR = f"""{FACTS}, a0 AS (SELECT CAST(wt AS DOUBLE) AS x1, wt + score / 1000 AS x2, wage / 1000 AS y FROM facts),
+    a1 AS (SELECT x1 - avg(x1) OVER () AS x1, x2 - avg(x2) OVER () AS x2, y - avg(y) OVER () AS y FROM a0),
+    a2 AS (SELECT x1, x2, x2 - x1 * (sum(x1 * x2) OVER () / sum(x1 * x1) OVER ()) AS r, y FROM a1),
+    a3 AS (SELECT x1, x2, r - x1 * (sum(x1 * r) OVER () / sum(x1 * x1) OVER ()) AS r, y FROM a2),
+    a4 AS (SELECT any_value(n) AS n, sum(r * y) / sum(r * r) AS b2, sum(r * r) AS rr, sum(x1 * y) / sum(x1 * x1) AS c, sum(x1 * x2) / sum(x1 * x1) AS g FROM a3, (SELECT count(*) AS n FROM a0)),
+    a5 AS (SELECT b2, rr, n, sum((y - c * x1 - b2 * r) * (y - c * x1 - b2 * r)) AS rss FROM a3, a4 GROUP BY b2, rr, n)"""
+
+
+@query("m1_near_collinear", f"WITH {NEAR} SELECT 'x2' AS term, {R('b2 / 1000', 'estimate')}, {R('sqrt(rss / (n - 3) / rr) / 1000', 'std_error')}, {R('b2 / sqrt(rss / (n - 3) / rr)', 'statistic', 4)} FROM a5")
+def near_collinear(spark, sf):
+    """Two regressors that differ by a millionth of their spread: their squared sums cannot tell them apart, a QR can."""
+    rows = facts(spark, sf).select(F.col("wt").cast("double").alias("x1"), (F.col("wt") + F.col("score") / 1000).alias("x2"), (F.col("wage") / 1000).alias("y"))
+    table = fit_qr(rows, design("y", "x1", "x2")).where("term = 'x2'")
+    return shown(table.withColumns({"estimate": F.col("estimate") / 1000, "std_error": F.col("std_error") / 1000}))
+
+
 YOUTH = f"""{FACTS}, yp AS (SELECT area, yr, CASE WHEN disc <= 0.03::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS youth, sum(wt * score) / sum(wt) AS score, sum(wt) AS pop,
       sum(wt * wage) / sum(wt) AS w, {", ".join(f"sum(CASE WHEN {SHARES[n]} THEN wt ELSE 0 END) / sum(wt) AS {n}" for n in ("frac_col", *INDUSTRY_SHARES))} FROM facts WHERE yr IN (1995, 2001) GROUP BY 1, 2, 3),
     ya AS (SELECT *, sum(score * pop) OVER a / sum(pop) OVER a AS area_score, lead(ln(score)) OVER (PARTITION BY area, youth ORDER BY yr) - ln(score) AS del_score FROM yp WINDOW a AS (PARTITION BY area, yr))"""

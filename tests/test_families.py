@@ -15,6 +15,7 @@ from panelmill.models.design import design, factor_levels
 from panelmill.models.family import Block, fit_family
 from panelmill.models.linear import fit_linear
 from panelmill.models.logit import fit_logit
+from panelmill.models.qr import fit_qr
 from panelmill.models.within import fit_within, fit_within_family
 
 FOLDER = "/root/testdata/sf0.001"
@@ -164,6 +165,28 @@ def test_family_keeps_digits_far_from_zero(spark):
     assert close(got["x"], np.polyfit(shifted, a[:, 1], 1)[0], 1e-7)
 
 
+@pytest.mark.parametrize("how", [{}, {"by": ["k"]}])
+def test_qr_equals_squared_sums_where_these_can(frame, how):
+    d = design("y", "x1*x2", weight="w")
+    keys = [*how.get("by", []), "term"]
+    assert not same_rows(fit_qr(frame, d, **how).collect(), fit_linear(frame, d, **how).coefficients().collect(), keys)
+
+
+def test_qr_keeps_nearly_collinear_columns(spark):
+    rng = np.random.default_rng(9)
+    x1, gap = rng.normal(0, 1, 2000), rng.normal(0, 1, 2000)
+    x2 = x1 + 1e-6 * gap
+    y = 1 + 2 * x1 + 3e5 * (x2 - x1) + rng.normal(0, 1e-3, 2000)
+    df = spark.createDataFrame(pd.DataFrame({"x1": x1, "x2": x2, "z": x1 + 1e-10 * gap, "y": y})).repartition(9)
+    got = {r.term: r for r in fit_qr(df, design("y", "x1", "x2", "z")).collect()}
+    x = np.column_stack([np.ones(2000), x1, x2 - x1])
+    beta = np.linalg.lstsq(x, y, rcond=None)[0]
+    assert got["z"].estimate is None
+    assert close(got["x2"].estimate, beta[2], 1e-7) and close(got["x1"].estimate, beta[1] - beta[2], 1e-7)
+    rest = y - x @ beta
+    assert close(got["x2"].std_error, math.sqrt(rest @ rest / 1997 * np.linalg.inv(x.T @ x / np.outer([1, 1, 1e-6], [1, 1, 1e-6]))[2, 2]) * 1e6, 1e-5)
+
+
 def test_blocks_add_up():
     rng = np.random.default_rng(3)
     x, w = rng.normal(5, 2, (100, 4)), rng.uniform(0, 1, (100, 2))
