@@ -6,12 +6,14 @@ as Parquet in the shared folder; all that follows reads the index, not the texts
 join that Spark broadcasts only while the term table is under the session's threshold.
 
 A phrase is found from its rarest terms: the posting lists of its two rarest terms are shifted by the terms' offsets and
-intersected, which costs one shuffle of the postings of rare terms only. Starts that both lists share ask for the phrase's
+intersected, which costs one shuffle of the postings of rare terms only: a table of hashed terms of at most ``FILTER_SIZE`` numbers
+leaves out the others where they are read. Starts that both lists share ask for the phrase's
 other terms at their shifted positions, and a start stays when all are there. Before that join the index is
 reduced to documents with such a start, by a table of hashed ids that holds at most ``FILTER_SIZE`` numbers. Proximity
 matches ask for terms within a distance of the rarest term instead of at fixed offsets.
 
-All of it is DataFrame functions; hot terms are spread over documents in every shuffle.
+All of it is DataFrame functions. A phrase all of whose terms are frequent still shuffles the postings of its rarest two by term, a hot one of
+which Spark's skew handling splits.
 
 Defined results: null and empty texts have no words. An item without words gives no window. A document id may repeat
 and may be null: rows with equal id and text share a result, which each of them returns. Repeated items count by id. Empty tables
@@ -86,7 +88,7 @@ class PositionalIndex:
         """(doc_id, rk, start, phrase, size) for every exact occurrence of a phrase (column ``phrase``, blank-separated)."""
         terms = phrases.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("off", "term"))
         ranked = staged(self.ranked(terms, "phrase"), "phrase-terms")
-        seeds = self.postings.join(ranked.where(F.col("rank") <= rarest), "term")
+        seeds = self._of(ranked.where(F.col("rank") <= rarest))
         seeds = seeds.select(*DOC, (F.col("pos") - F.col("off")).alias("start"), "phrase", "size", "rank").where("start >= 0")
         # Equal rows have each posting several times, so the lists met are told apart by their bits.
         met = seeds.groupBy(*DOC, "start", "phrase", "size").agg(F.bit_or(F.expr("shiftleft(1L, rank - 1)")).alias("lists"))
@@ -106,6 +108,13 @@ class PositionalIndex:
         on = needs.doc_id.eqNullSafe(p.p_id) & (needs.rk == p.p_rk) & (needs.pos == p.p_pos) & (needs.term == p.p_term)
         return needs.join(p, on, "left_semi")
 
+    def _of(self, rare: DataFrame) -> DataFrame:
+        """Postings of the terms of ``rare`` beside its columns; others are left out before the shuffle by hashed terms."""
+        slot = F.pmod(F.xxhash64("term"), F.lit(FILTER_SIZE)).cast("int")
+        slots = staged(rare.select(slot.alias("__slot")).distinct(), "rare-terms")
+        few = self.postings.withColumn("__slot", slot).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
+        return few.join(rare, "term")
+
     @staticmethod
     def _slot() -> Column:
         # At most FILTER_SIZE values exist, whatever the number of documents.
@@ -118,7 +127,7 @@ class PositionalIndex:
         """
         terms = queries.select("query", "term").distinct().withColumn("off", F.lit(0))
         ranked = staged(self.ranked(terms, "query"), "near-terms")
-        seeds = self.postings.join(ranked.where("rank = 1"), "term").select(*DOC, F.col("pos").alias("at"), "query", "size").distinct()
+        seeds = self._of(ranked.where("rank = 1")).select(*DOC, F.col("pos").alias("at"), "query", "size").distinct()
         seeds = staged(seeds, "near-seeds")
         needs = seeds.join(ranked.where("rank > 1").select("query", "term"), "query")
         p = self.postings.select(F.col("doc_id").alias("p_id"), F.col("rk").alias("p_rk"), F.col("pos").alias("p_pos"), F.col("term").alias("p_term"))
