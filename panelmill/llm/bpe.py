@@ -11,7 +11,7 @@ A text is cut by the vocabulary's pattern first; each piece is encoded alone. Fr
 memo per worker. Documents are encoded where they are read: no shuffle, one batch in memory at a time.
 
 Defined results: a null text is the empty text (no ids, no bytes). Any text decodes to its UTF-8 bytes. Repeated rows
-each get a result. An empty table gives an empty result. Columns that a caller names besides the id pass through.
+each get a result. An empty table gives an empty result. Columns besides the id and the text are not read.
 """
 
 from __future__ import annotations

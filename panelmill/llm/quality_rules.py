@@ -1,6 +1,6 @@
 """Cross-document line frequency: lines many documents of a host share are removed, depleted documents rejected.
 
-Every line is normalised (ASCII lower case, digits to 0, white space squeezed) and hashed. Per host and line hash
+Every line is normalised (lower case of all letters, digits to 0, white space squeezed) and hashed. Per host and line hash
 the distinct documents are counted. Copies of a document count once: a document counts by the hash of its set of lines, so a text
 that was copied often does not make its own lines common, while different texts that share a line all count.
 A line is common when more than ``max_docs`` documents of its host have it and more than ``max_share`` of them.
