@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelmill.catalog.fits import shown
-from panelmill.catalog.registry import FACTS_FLOW, FACTS_STATE, R, area_panel, facts_flow, facts_state, query, rounded, table
+from panelmill.catalog.registry import FACTS_FLOW, R, area_panel, facts_flow, query, rounded, table
 from panelmill.catalog.twins import logit, normal_p
 from panelmill.functions.codes import period_start
 from panelmill.functions.safe import flag

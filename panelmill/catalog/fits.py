@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelmill.catalog.joins import EDGES, edges
 from panelmill.catalog.registry import (
-    FACTS, FACTS_FLOW, FACTS_JOB, FACTS_STATE, R, area_panel, areas, facts, facts_flow, facts_job, facts_state, query, r, rounded,
+    FACTS, FACTS_FLOW, FACTS_JOB, FACTS_STATE, R, area_panel, areas, facts, facts_flow, facts_job, facts_state, query, rounded,
 )
 from panelmill.catalog.recipes import OCC_SCORED, parts
 from panelmill.catalog.twins import ols, t_width
@@ -16,10 +16,10 @@ from panelmill.models.family import fit_family
 from panelmill.models.qr import fit_qr
 from panelmill.models.within import fit_within, fit_within_family
 from panelmill.operators import allocation
-from panelmill.operators.panel import attach_base, log_change_next
+from panelmill.operators.panel import log_change_next
 from panelmill.operators.quantiles import quantile_bins
 from panelmill.operators.scaling import scale_by_sd, zscore
-from panelmill.plans import cohorts, concentration, decomposition, degrees, did, migration, panels, shocks
+from panelmill.plans import concentration, decomposition, degrees, migration, panels, shocks
 from panelmill.plans.regressions import INDUSTRY_SHARES, PANEL_CONTROLS, degree_models, growth_models, wage_models, within_models
 from panelmill.session import reused
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from panelmill.catalog import QUERIES, load_all
 from panelmill.catalog.fits import degree_models, growth_designs
-from panelmill.models import within
 from panelmill.models.design import design, factor_levels
 from panelmill.models.family import Block, fit_family
 from panelmill.models.linear import fit_linear
