@@ -366,6 +366,66 @@ def test_passages_with_spread_edits(spark, length, every):
     assert {(r.doc_id, r.other_id) for r in rows} == {(2 * i + 1, 2 * i) for i in range(40)}
 
 
+def test_chains_against_all_predecessors():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        x, y = rng.integers(0, 150, 80), rng.integers(0, 150, 80)
+        places = np.unique(np.stack((x, y), axis=1), axis=0)
+        runs = passages.fragments(places[:, 0], places[:, 1])
+        assert (runs[:, 2] - runs[:, 0] + 1).sum() == len(places)
+        g, worth = passages.GAP, []
+        for x, y, last, _ in runs.tolist():
+            before = [worth[k] - passages.GAP_COST * (x - p + y - q) / 2 for k, (_, _, p, q) in enumerate(runs[:len(worth)].tolist()) if p < x and q < y and x // g - p // g < 2 and y // g - q // g < 2]
+            worth.append(last - x + 1 + max(max(before, default=0.0), 0.0))
+        found = passages.chains(runs)
+        assert sorted(k for c in found for k in c) == list(range(len(runs)))
+        best = runs[found[0]]
+        gaps = (best[1:, :2] - best[:-1, 2:]).sum() * passages.GAP_COST / 2
+        assert (best[1:, :2] > best[:-1, 2:]).all()
+        assert np.isclose((best[:, 2] - best[:, 0] + 1).sum() - gaps, max(worth))
+
+
+def test_longest_stretch_against_all_ranges():
+    rng = np.random.default_rng(6)
+    for share in (0.5, 0.8, 1.0):
+        for _ in range(200):
+            equal = rng.uniform(size=rng.integers(1, 60)) < rng.choice([0.3, 0.7, 0.9])
+            ranges = [j - i for i in range(len(equal)) for j in range(i + 1, len(equal) + 1) if equal[i] and equal[j - 1] and equal[i:j].sum() >= share * (j - i) - 1e-9]
+            i, j = passages.longest_stretch(equal, share)
+            assert j - i == max(ranges, default=0)
+            assert j == i or (equal[i] and equal[j - 1] and equal[i:j].mean() >= share - 1e-9)
+
+
+@pytest.mark.parametrize("length, rate", [(50, 0.1), (50, 0.15), (60, 0.15), (75, 0.18), (100, 0.2)])
+def test_recall_of_edited_passages(spark, length, rate):
+    rng = random.Random(int(length * 100 * rate))
+    word = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    docs, meant = [], set()
+    while len(meant) < 60:
+        passage = word(length)
+        edits = [rng.random() < rate for _ in passage]
+        # The edited ends are no part of a passage, so both lie on equal words.
+        if edits[0] or edits[-1] or sum(edits) > 0.2 * length:
+            continue
+        edited = [word(1)[0] if e else w for w, e in zip(passage, edits)]
+        i = len(docs)
+        docs += [(i, " ".join(word(30) + passage + word(20))), (i + 1, " ".join(word(10) + edited + word(40)))]
+        meant.add((i + 1, i))
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.other_id) for r in rows if min(r.end - r.start, r.other_end - r.other_start) >= 50 and r.share >= 0.8}
+    assert found <= meant and len(found) >= 0.9 * len(meant)
+
+
+def test_a_bad_middle_leaves_both_passages(spark):
+    rng = random.Random(51)
+    one, two = brute.sentence(rng, 60).split(), brute.sentence(rng, 70).split()
+    docs = [(i, " ".join(one + brute.sentence(rng, 36).split() + two)) for i in (1, 2)]
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all((r.doc_id, r.other_id) == (2, 1) for r in rows)
+    covered = {k for r in rows for k in range(r.start, r.end)}
+    assert {*range(5, 55), *range(101, 161)} <= covered
+
+
 def test_chains_of_one_document_are_spread(spark, monkeypatch):
     monkeypatch.setattr(passages, "CHAINS_PER_SALT", 10)
     rng = random.Random(41)
