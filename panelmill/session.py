@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 STAGING = "panelmill"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def build_session(app: str = "panelmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -91,15 +92,34 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
-    Losing executors afterwards costs only a re-read of the table.
+    Losing executors afterwards costs only a re-read of the table. So the shuffle files of the write, which nothing reads again,
+    are removed when it ends.
     """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = fresh_path(spark, label), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames as ``staged`` returned them, once all that reads them is staged itself."""
+    for df in frames:
+        folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for folder in folders:
+            if f"/{STAGING}/" not in folder:
+                raise ValueError(f"{folder} is no staged table")
+            _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_staged(spark: SparkSession) -> None:
     """Delete what this application has staged; frames that read it must not be used any more."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{STAGING}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_folder(spark)}/{STAGING}/{spark.sparkContext.applicationId}")

@@ -2,8 +2,10 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
+from panelmill import session
 from panelmill.functions import classes, codes, safe, weighted
 from panelmill.operators import allocation, joins, panel, scaling
 from panelmill.operators.quantiles import exact_quantiles, interval_index, quantile_bins
@@ -238,3 +240,16 @@ def test_staged_tables_can_be_cleared(spark):
     assert os.listdir(folder)
     clear_staged(spark)
     assert not os.path.exists(folder)
+
+
+def test_staged_tables_leave_no_shuffle_and_can_be_discarded(spark, tmp_path):
+    before = spark.conf.get(session.SHUFFLE_CLEANUP, "false")
+    one = session.staged(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert spark.conf.get(session.SHUFFLE_CLEANUP, "false") == before
+    two = session.staged(one.orderBy("k"))
+    session.discard(one)
+    assert two.count() == 7 and sum(r["count"] for r in two.collect()) == 1000
+    spark.range(3).write.parquet(str(tmp_path / "kept"))
+    with pytest.raises(ValueError):
+        session.discard(spark.read.parquet(str(tmp_path / "kept")))
+    session.discard(session.staged(spark.range(0)))
