@@ -7,9 +7,9 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelmill.session import staged
+from panelmill.session import discard, staged
 
-__all__ = ["ascii_lower", "checked_partitions", "read_table", "row_key", "staged", "text_or_empty", "total_bytes"]
+__all__ = ["ascii_lower", "checked_partitions", "discard", "read_table", "row_key", "staged", "text_or_empty", "total_bytes"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import checked_partitions, read_table, row_key, staged
+from panelmill.llm.common import checked_partitions, discard, read_table, row_key, staged
 from panelmill.llm.shingles import MIX, mixed
 from panelmill.llm.suffixes import common_prefixes, suffix_array
 
@@ -228,6 +228,7 @@ def removed_ranges(rows: DataFrame, length: int = LENGTH, per_anchor: int = CONT
     parts = found.where("bytes is not null").select("v", "ctx", "bytes", slot).join(F.broadcast(slots), "slot", "left_semi")
     parts = parts.groupBy("v", "ctx").agg(F.first("bytes").alias("bytes"))
     several = staged(keys.join(parts, ["v", "ctx"]), "several-contexts")
+    discard(keys, slots)
     usual = several.where(F.col("kinds") <= per_anchor)
     total = usual.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shards = checked_partitions(total, SHARD_BYTES)
@@ -236,6 +237,7 @@ def removed_ranges(rows: DataFrame, length: int = LENGTH, per_anchor: int = CONT
     hot = several.where(F.col("kinds") > per_anchor)
     ranges = ranges.unionByName(split_repeats(hot, length))
     inner = staged(ranges.groupBy("v", "ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "context-ranges")
+    discard(several)
     # Contexts that occur again or have ranges; the rest removes nothing.
     needed = groups.select("v", "ctx", "first", "n", "starts").join(inner, ["v", "ctx"], "left").where("n > 1 or ranges is not null")
     member = found.select("v", "ctx", "doc_id", "rk", "start").join(needed, ["v", "ctx"])
