@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import read_table, staged
+from panelmill.llm.common import read_table
+from panelmill.llm.common import staged_in_short_batches as staged
 from panelmill.llm.components import components
 from panelmill.llm.shingles import mixed, shingle_set
 

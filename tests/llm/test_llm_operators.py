@@ -5,10 +5,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from panelmill.llm import bpe, decontamination, language_model, minhash, passages, quality_classifier, quality_rules, secrets, sharding, substring_dedup, suffixes
+from panelmill.llm import bpe, common, decontamination, language_model, minhash, passages, quality_classifier, quality_rules, secrets, sharding, substring_dedup, suffixes
 from panelmill.llm.queries import QUERIES
 
 import brute
@@ -297,6 +298,14 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got(df, "doc_id", "n_shingles", "component_id") == expected
 
 
+def test_short_batches(spark):
+    before = spark.conf.get(common.BATCH_ROWS)
+    sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    rows = common.staged_in_short_batches(spark.range(2_500, numPartitions=1).mapInArrow(sizes, "n long"))
+    assert sorted(r["n"] for r in rows.collect()) == [500, 1000, 1000]
+    assert spark.conf.get(common.BATCH_ROWS) == before
+
+
 def test_passages(spark, rough):
     rows = QUERIES["op9_fuzzy_passages"](spark, rough).collect()
     words = {r[0]: (r[1] or "").encode().lower().split() for r in ROWS}
