@@ -40,6 +40,7 @@ SKETCH = 1_048_583  # buckets of the pair counts
 MARKS = 1 << 22  # bits of the filter of classes whose sets are fetched
 SHORT_LIST = 8  # lists up to this length are compared outright
 RANDOM_MEMBERS = 3  # of a list's largest component, met by the classes outside it
+PLACE_WORDS = 32  # longs, whose bits are the places that a set's shingles fall on
 LIKELIEST = 8  # of a class's candidates among them, confirmed on full sets
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -175,6 +176,20 @@ class ShingleSets:
         left = sized.join(alone, "cid", "left").select("cid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("room"))
         return left.where(F.col("room") * 100 >= F.col("n") * percent)
 
+    def places(self, ends: DataFrame) -> DataFrame:
+        """(cid, p0, p1, ...): the places that the shingles of a class fall on, as bits."""
+        names = [f"p{k}" for k in range(PLACE_WORDS)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = np.zeros((batch.num_rows, 64 * PLACE_WORDS), bool)
+                for row, raw in enumerate(batch.column("shingles").to_pylist()):
+                    bits[row, mixed(np.frombuffer(raw, np.uint64)) % np.uint64(64 * PLACE_WORDS)] = True
+                longs = np.packbits(bits, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("cid"), *(pa.array(longs[:, k]) for k in range(PLACE_WORDS))], names=["cid", *names])
+
+        return self.of(ends).join(ends, "cid", "left_semi").mapInArrow(run, ", ".join(["cid long", *(f"{c} long" for c in names)]))
+
     def _fetch(self, marks: np.ndarray) -> DataFrame:
         bits = np.zeros(MARKS, bool)
         bits[marks] = True
@@ -251,13 +266,21 @@ def linked(shared: DataFrame, classes: DataFrame, sets: ShingleSets, percent: in
     rows = staged(rows.join(top.where("comps > 1").select("elem", "top", "size"), "elem"), "apart")
     short = rows.where(F.col("size") <= SHORT_LIST).select("elem", "cid", "comp", "top", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("room"))
     long = rows.where(F.col("size") > SHORT_LIST).drop("size")
-    room = staged(sets.room(long.select("cid").distinct(), classes, percent), "class-room")
-    rows = short.unionByName(long.join(room, "cid"))
-    minor = rows.where("comp <> top").select("elem", F.col("cid").alias("a"), F.col("comp").alias("comp_a"), F.col("n").alias("n_a"), F.col("room").alias("room_a"))
-    others = rows.select("elem", F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("room").alias("room_b"), "top")
-    fits = f"n_a is null or {100 + percent} * least(room_a, room_b) >= {percent} * (n_a + n_b)"
-    pairs = minor.join(others, "elem").where(f"comp_a <> comp_b and (comp_b = top or a < b) and ({fits})")
-    settle(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = long.select("cid").distinct()
+    room = staged(sets.room(ends, classes, percent), "class-room")
+    if room.isEmpty():
+        rows = short
+    else:
+        room = staged(room.join(sets.places(room.select("cid")), "cid"), "class-room")
+        rows = short.unionByName(long.drop("n", "room").join(room, "cid"), allowMissingColumns=True)
+    met = [c for c in rows.columns if c in ("cid", "comp", "n", "room") or c[0] == "p"]
+    minor = rows.where("comp <> top").select("elem", *(F.col(c).alias(f"{c}_a") for c in met))
+    others = rows.select("elem", "top", *(F.col(c).alias(f"{c}_b") for c in met))
+    apart = [" + ".join(f"bit_count({c}_{x} & ~{c}_{y})" for c in met if c[0] == "p") or "0" for x, y in ("ab", "ba")]
+    shared_most = f"least(room_a, room_b, n_a - ({apart[0]}), n_b - ({apart[1]}))"
+    fits = f"n_a is null or ({100 + percent} * least(room_a, room_b) >= {percent} * (n_a + n_b) and {100 + percent} * {shared_most} >= {percent} * (n_a + n_b))"
+    pairs = minor.join(others, "elem").where(f"comp_a <> comp_b and (comp_b = top or cid_a < cid_b) and ({fits})")
+    settle(pairs.select(F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b")).distinct())
     return comps
 
 

@@ -298,6 +298,36 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got(df, "doc_id", "n_shingles", "component_id") == expected
 
 
+def test_near_copies_below_the_threshold_are_not_paired(spark, monkeypatch):
+    """Copies of one text with four or five words changed share most shingles, but few pairs of them are linked."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for k in rng.sample(range(10, 190), 4 + i % 2):
+            words[k] = f"c{i}x{k}"
+        texts.append(" ".join(words))
+    made, agreeing = [], minhash.agreeing
+
+    def counted(pairs, classes, share):
+        made.append(pairs.count())
+        return agreeing(pairs, classes, share)
+
+    monkeypatch.setattr(minhash, "agreeing", counted)
+    monkeypatch.setattr(minhash, "SHORT_LIST", 1)
+    rows = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=4).collect()
+    sets = [{tuple(t.split()[k:k + 4]) for k in range(197)} for t in texts]
+    component = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = component[a], component[b]
+                component = [min(x, y) if c in (x, y) else c for c in component]
+    assert {r["doc_id"]: r["component_id"] for r in rows} == dict(enumerate(component))
+    assert made[-1] < 100, made
+
+
 def test_short_batches(spark):
     before = spark.conf.get(common.BATCH_ROWS)
     sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
