@@ -349,6 +349,15 @@ def test_passages(spark, rough):
         assert r.doc_id != r.other_id and r.end - r.start >= 50 and r.share >= 0.8
 
 
+def test_passages_are_found_in_short_batches(spark, monkeypatch):
+    seen, stage = [], common.session.staged
+    monkeypatch.setattr(common.session, "staged", lambda df, label="stage": seen.append(spark.conf.get(common.BATCH_ROWS)) or stage(df, label))
+    text = " ".join(f"w{k}" for k in range(60))
+    (r,) = passages.repeated_passages(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).collect()
+    assert (r["doc_id"], r["other_id"], r["start"], r["end"]) == (2, 1, 0, 60)
+    assert set(seen) == {str(common.SHORT_BATCH)}
+
+
 def test_passages_with_edits(spark):
     rng = random.Random(12)
     passage = brute.sentence(rng, 90).split()
