@@ -401,6 +401,37 @@ def test_frequent_seeds_are_salted(spark, monkeypatch):
     assert {r.doc_id for r in rows if r.other_id == 0} == set(range(1, 60))
 
 
+@pytest.mark.parametrize("hot", [2_000, 3])
+def test_passages_of_frequent_seeds_only(spark, monkeypatch, hot):
+    monkeypatch.setattr(passages, "OCCURRENCES_PER_SALT", hot)
+    rng = random.Random(71)
+    word = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    passage = word(60)
+    copy = [f"edit{k}" if k % 7 == 5 else w for k, w in enumerate(passage)]
+    parts = [*range(1, 25), *range(101, 113)]
+    docs = [(i, word(30) + (passage[:40] if i % 2 else passage[20:]) + word(20)) for i in parts]
+    docs += [(100, word(30) + passage + word(20)), (130, word(30) + copy + word(20))]
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    (r,) = [r for r in rows if (r.doc_id, r.other_id) == (130, 100)]
+    assert r.start >= 25 and r.end <= 95 and r.share >= 0.8 and r.class_id == 100
+    assert {x for r in rows for x in (r.doc_id, r.other_id)} == {100, 130}
+
+
+def test_classes_join_all_texts_that_share_a_passage(spark):
+    rng = random.Random(72)
+    stock = [[f"s{rng.randint(0, 10**9)}" for _ in range(12)] for _ in range(6)]
+    word = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    # All texts have stock lines, all seeds of which are frequent; those with four or more of them in one order share a passage.
+    docs, orders = [], [(0, 1, 2, 3, 4), (5, 4, 3, 2, 1, 0), (2, 0, 4, 1, 3, 5)]
+    for i in range(90):
+        own = orders[i % 3] if i % 5 == 0 else [rng.randrange(6)]
+        text = word(15) + sum((stock[k] + (word(1) if i % 2 else []) for k in own), []) + word(25)
+        docs.append((i, " ".join(text)))
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    classes = {x: r.class_id for r in rows for x in (r.doc_id, r.other_id)}
+    assert classes == {i: {0: 0, 1: 10, 2: 5}[i % 3] for i in range(0, 90, 5)}
+
+
 @pytest.mark.parametrize("length, every", [(60, 6), (60, 7), (60, 8), (100, 6), (100, 7)])
 def test_passages_with_spread_edits(spark, length, every):
     rng = random.Random(length + every)
