@@ -417,6 +417,20 @@ def test_passages_of_frequent_seeds_only(spark, monkeypatch, hot):
     assert {x for r in rows for x in (r.doc_id, r.other_id)} == {100, 130}
 
 
+def test_ranges_that_may_agree():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        size = int(rng.integers(50, 130))
+        a = rng.integers(0, 1 << 32, size, dtype=np.uint32)
+        edits = rng.permutation(size)[:size // 5]
+        if rng.random() < 0.5:  # all edits side by side
+            edits = np.arange(size // 5) + rng.integers(0, size - size // 5)
+        b = a.copy()
+        b[edits] = rng.integers(0, 1 << 32, len(edits), dtype=np.uint32)
+        assert passages.may_agree(a, b, 50, 0.8)
+    assert not passages.may_agree(a, np.concatenate((a[:30], b[:0], rng.integers(0, 1 << 32, 90, dtype=np.uint32))), 50, 0.8)
+
+
 def test_classes_join_all_texts_that_share_a_passage(spark):
     rng = random.Random(72)
     stock = [[f"s{rng.randint(0, 10**9)}" for _ in range(12)] for _ in range(6)]
