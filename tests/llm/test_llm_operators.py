@@ -431,6 +431,59 @@ def test_ranges_that_may_agree():
     assert not passages.may_agree(a, np.concatenate((a[:30], b[:0], rng.integers(0, 1 << 32, 90, dtype=np.uint32))), 50, 0.8)
 
 
+def test_words_in_common_are_counted_as_often_as_both_have_them():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        a, b = (rng.integers(0, rng.integers(2, 40), size).astype(np.uint32) for size in (rng.integers(1, 60), rng.integers(1, 30)))
+        size, held = int(rng.integers(1, len(a) + 1)), Counter(b.tolist())
+        most = max((Counter(a[i:i + size].tolist()) & held).total() for i in range(len(a) - size + 1))
+        assert list(passages.most_in_common(a, b, [size])) == [most]
+    # 60 equal words against 35 of them.
+    assert not passages.may_agree(np.full(60, 7, np.uint32), np.concatenate((np.full(35, 7), np.arange(100, 130))).astype(np.uint32), 50, 0.8)
+
+
+def test_chains_left_out_have_no_passage():
+    rng = np.random.default_rng(10)
+    kept = 0
+    for _ in range(25):
+        a, b = (np.repeat(rng.integers(0, 9, 10), rng.integers(1, 20, 10)).astype(np.uint32) for _ in range(2))
+        if rng.random() < 0.5:
+            b = np.where(rng.random(len(a)) < 0.2, rng.integers(0, 9, len(a)), a).astype(np.uint32)
+        p, q = (passages.window_hashes(z.astype(np.uint64), passages.SEED) for z in (a, b))
+        x, y = np.nonzero(p[:, None] == q)
+        if not len(x):
+            continue
+        runs = passages.fragments(x, y)
+        found = [(runs[c][:, [0, 2]].ravel(), runs[c][:, [1, 3]].ravel()) for c in passages.chains(runs)]
+        may = passages.chains_that_may_agree(a, b, found, 50, 0.8)
+        meets = np.array([bool(passages.aligned(a, b, xs, ys, 50, 0.8)) for xs, ys in found])
+        assert (may | ~meets).all() and (not meets.any() or passages.may_agree(a, b, 50, 0.8))
+        # Where all matches of a chain are on one diagonal, nothing is aligned in vain.
+        assert all(m == n for m, n, (xs, ys) in zip(may, meets, found) if (ys - xs == ys[0] - xs[0]).all())
+        kept += meets.sum()
+    assert kept
+
+
+def test_texts_of_repeated_words_give_one_row_of_chains_a_cell(spark, monkeypatch):
+    rng = random.Random(73)
+    docs = [(i, " ".join(w for _ in range(30) for w in [f"s{rng.randrange(40)}"] * rng.randint(8, 40))) for i in range(24)]
+    seen, stage = [], passages.staged
+
+    def keep(df, label):
+        out = stage(df, label)
+        if label == "chains":
+            seen.extend((r.doc_id, r.other_id, r.xs[0] // 256, r.ys[0] // 256) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(passages, "staged", keep)
+    found = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert seen and len(seen) == len(set(seen))
+    texts = {i: t.split() for i, t in docs}
+    for r in found:
+        assert min(r.end - r.start, r.other_end - r.other_start) >= 50 and r.share >= 0.8
+        assert texts[r.doc_id][r.start] == texts[r.other_id][r.other_start]
+
+
 def test_classes_join_all_texts_that_share_a_passage(spark):
     rng = random.Random(72)
     stock = [[f"s{rng.randint(0, 10**9)}" for _ in range(12)] for _ in range(6)]
