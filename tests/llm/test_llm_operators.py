@@ -417,6 +417,31 @@ def test_passages_of_frequent_seeds_only(spark, monkeypatch, hot):
     assert {x for r in rows for x in (r.doc_id, r.other_id)} == {100, 130}
 
 
+def test_all_pairs_of_texts_with_one_passage_are_listed(spark):
+    rng = random.Random(81)
+    word = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    passage, page = word(60), word(900)
+    # More texts than seeds are matched in all pairs at once; every copy of the page has other words replaced.
+    docs = [(i, word(rng.randint(5, 40)) + passage + word(rng.randint(5, 40))) for i in range(14)]
+    docs += [(i, word(rng.randint(1, 9)) + [w if rng.random() > 0.02 else f"edit{i}" for w in page]) for i in range(20, 34)]
+    rows = passages.repeated_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")).collect()
+    pairs = {(j, i) for k in (0, 20) for i in range(k, k + 14) for j in range(i + 1, k + 14)}
+    assert {(r.doc_id, r.other_id) for r in rows} == pairs and len(rows) == len(pairs)
+    for r in rows:
+        assert r.end - r.start >= (60 if r.doc_id < 20 else 850) and r.class_id == (0 if r.doc_id < 20 else 20)
+
+
+def test_whole_texts_that_repeat_themselves_are_compared_in_cells(monkeypatch):
+    rng = np.random.default_rng(82)
+    a = np.concatenate((rng.integers(0, 1 << 32, 700), np.full(600, 7))).astype(np.uint32)
+    b = np.concatenate((rng.integers(0, 1 << 32, 100), a[:1000])).astype(np.uint32)
+    at_once = passages._whole(passages.Seeds(a), passages.Seeds(b), 50, 0.8)
+    assert max((e - s, s, o) for s, e, o, *_ in at_once)[0] >= 1000
+    monkeypatch.setattr(passages, "MATCHES_AT_ONCE", 100)
+    covered = {k for s, e, *_ in passages._whole(passages.Seeds(a), passages.Seeds(b), 50, 0.8) for k in range(s, e)}
+    assert covered >= set(range(1000))
+
+
 def test_ranges_that_may_agree():
     rng = np.random.default_rng(8)
     for _ in range(400):
