@@ -1,13 +1,13 @@
 """Exact substring removal by suffix arrays: bytes of a string of ``length`` that also starts earlier are removed.
 
-Equal strings are brought together by content, so no array of the whole corpus is needed. Of each string's 16-byte
+Equal strings are brought together by content, so no array of the whole corpus is needed. Of each string's 32-byte
 grams the one with the smallest hash is its anchor: equal strings have equal anchors at equal distance. The strings of one
 anchor start side by side, so the anchor and the bytes around it (its context) stand for all of them. Steps:
 
-1. Count anchors by a hash bucket (2^27 buckets); contexts whose bucket is met once have no second occurrence.
-2. Store the other contexts with document and start. Equal contexts are one group: all but the earliest occurrence
-   repeat it wholly, and its bytes are needed once.
-3. Anchors with several different contexts: shards of such contexts, dealt by anchor, get a suffix array by induced sorting
+1. Scan the texts once. Of equal contexts in one batch of contexts all but the earliest occurrence repeat it wholly, which needs no more
+   looking up; the earliest ones go, packed and without their bytes, to the share of their anchor.
+2. A share drops anchors that occur once. Of equal contexts all but the earliest occurrence repeat it wholly.
+3. Anchors with several different contexts: bytes are taken from the texts of the earliest occurrences. Shards of such contexts, dealt by anchor, get a suffix array by induced sorting
    and permuted common prefixes; neighbours that share ``length`` bytes are equal strings, of which all but the earliest
    are removed. An anchor with more contexts than a shard should hold is split by the strings themselves: their
    hashes are grouped with partial aggregation, which gives the same answer for any number of contexts.
@@ -25,18 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelmill.llm.common import checked_partitions, discard, read_table, row_key, staged
-from panelmill.llm.shingles import MIX, mixed
+from panelmill.llm.common import checked_partitions, discard, read_table, row_key, staged, total_bytes
+from panelmill.llm.shingles import MIX, mixed, numbers, planes
 from panelmill.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 100
-GRAM = 16
+GRAM = 32
+SHORT_GRAM = 16  # for strings shorter than two grams
 PIECE = 2 << 20  # bytes scanned at once
-BUCKET_BITS = 27
+FLUSH = 500_000  # contexts that a task deals at once
+CONTEXTS_PER_TASK = 500_000
 SHARD_BYTES = 2 << 20
 CONTEXTS_PER_ANCHOR = 2_000
 FILTER_SIZE = 1 << 20
@@ -66,15 +69,16 @@ def anchors(buffer: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarr
     if len(buffer) < length:
         return none.astype(np.uint64), none, none
     h = buffer.astype(np.uint64) + np.uint64(1)
+    gram = GRAM if length >= 2 * GRAM else SHORT_GRAM
     step, factor = 1, MIX
-    while step < GRAM:
+    while step < gram:
         h = h[:-step] * factor + h[step:]
         factor = np.uint64((int(factor) ** 2 + 2) & ((1 << 64) - 1))
         step *= 2
     h = mixed(h)
     pos = np.uint64((1 << 28) - 1)
     key = (h & ~pos) | np.arange(len(h), dtype=np.uint64)
-    width = length - GRAM + 1
+    width = length - gram + 1
     low, have = key, 1
     while 2 * have <= width:
         low = np.minimum(low[:-have], low[have:])
@@ -107,60 +111,136 @@ def _scanned(texts: list[bytes | None], length: int):
         yield buffer, v, starts, counts, rows, starts + shift
 
 
-def _bucket(v: np.ndarray) -> np.ndarray:
-    # Anchors are smallest hashes, so their high bits are all alike; the low ones are not.
-    return (v & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
+def _flushes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[list[np.ndarray]]:
+    """(anchor, context, place of the document, rk, start, starts) of about ``FLUSH`` contexts at a time, in order."""
+    held: list[tuple] = []
+    total = 0
+    for batch in batches:
+        doc, rk = pc.fill_null(batch.column("doc_id"), LAST).to_numpy(), batch.column("rk").to_numpy()
+        for buffer, v, starts, counts, at, offset in _scanned(batch.column("text").cast(pa.binary()).to_pylist(), length):
+            hashes = (xxhash.xxh3_64_intdigest(buffer[s:e]) for s, e in zip(starts.tolist(), (starts + counts + (length - 1)).tolist()))
+            held.append((v, np.fromiter(hashes, np.uint64, len(v)), doc[at], rk[at], offset.astype(np.int32), counts.astype(np.int32)))
+            total += len(v)
+            if total >= FLUSH:
+                yield [np.concatenate(z) for z in zip(*held)]
+                held, total = [], 0
+    if total:
+        yield [np.concatenate(z) for z in zip(*held)]
 
 
-def repeated_buckets(rows: DataFrame, length: int) -> np.ndarray:
-    """One bit per bucket, set where two anchors or more fall; the array has a fixed size."""
+def later_ones(ctx: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of contexts in the order of their hashes, which of these have an equal context at an earlier place)."""
+    order = np.lexsort((start, doc, ctx))
+    ctx, doc, start = ctx[order], doc[order], start[order]
+    heads = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))[:len(ctx)])
+    first = np.repeat(heads, np.diff(np.append(heads, len(ctx))))
+    return order, (doc != doc[first]) | (start != start[first])
+
+
+KINDS = {"vs": np.uint64, "ctxs": np.uint64, "docs": np.int64, "rks": np.int64, "sizes": np.int32, "los": np.int32, "starts": np.int32}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, v, *_ in _scanned(batch.column("text").cast(pa.binary()).to_pylist(), length):
-                buckets, counts = np.unique(_bucket(v), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.minimum(counts, 2).astype(np.int32))], names=["b", "n"])
 
-    counts = rows.select("text").mapInArrow(run, "b int, n int").groupBy("b").agg(F.sum("n").alias("n")).where("n > 1")
-    words = counts.groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, b & 31)")).alias("bits"))
-    table = words.toArrow()  # at most 2^22 rows
-    bits = np.zeros(1 << (BUCKET_BITS - 5), np.uint32)
-    bits[table.column("w").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
-    return bits
+def _packed(share: int, v: np.ndarray, ctx: np.ndarray, doc: np.ndarray, rk: np.ndarray, lo: np.ndarray, starts: np.ndarray) -> tuple:
+    """A row of contexts, or of ranges that need no anchor; a document that has several in a row is there once."""
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (rk[1:] != rk[:-1]))))
+    return (share, *map(planes, (v, ctx, doc[new], rk[new], np.diff(np.append(new, len(doc))).astype(np.int32), lo, starts)))
+
+
+def _unpacked(table: pa.Table) -> list[np.ndarray]:
+    v, ctx, doc, rk, sizes, lo, starts = (np.concatenate([numbers(raw, kind) for raw in table.column(c).to_pylist()]) for c, kind in KINDS.items())
+    return [v, ctx, np.repeat(doc, sizes), np.repeat(rk, sizes), lo, starts]
 
 
 def contexts(rows: DataFrame, length: int) -> DataFrame:
-    """(v, ctx, doc_id, rk, start, starts, bytes) of anchors in repeated buckets; bytes once per batch and context."""
-    shared = rows.sparkSession.sparkContext.broadcast(repeated_buckets(rows, length))
-    kind = "v long, ctx long, doc_id long, rk long, start long, starts int, bytes binary"
-    names = [c.split()[0] for c in kind.split(", ")]
+    """(doc, rk, lo, hi, v, ctx, kinds, others): ranges that occur earlier, with null ``v``, and contexts whose anchor has ``kinds`` different ones.
+
+    The latter are there once each, at the earliest place; texts with equal ids that have it at this place as well are ``others``.
+    """
+    gram = GRAM if length >= 2 * GRAM else SHORT_GRAM
+    shares = checked_partitions(2 * total_bytes(rows) // (length - gram + 2), CONTEXTS_PER_TASK)
+    none = np.zeros(0, np.uint64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v, ctx, doc, rk, start, starts in _flushes(batches, length):
+            order, later = later_ones(ctx, doc, start)
+            gone, left = np.sort(order[later]), np.sort(order[~later])
+            out: list[tuple] = []
+            if len(gone):
+                # Ranges of one text that touch are one.
+                d, r, lo, hi = doc[gone], rk[gone], start[gone], start[gone] + starts[gone]
+                new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (lo[1:] != hi[:-1]))))
+                hi = hi[np.append(new[1:], len(lo)) - 1]
+                out.append(_packed(int(d[0] % shares), none, none, d[new], r[new], lo[new], hi - lo[new]))
+            share = ((v[left] & np.uint64(0xFFFFFFFF)) * np.uint64(shares) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(share, kind="stable")
+            left, share = left[order], share[order]
+            cuts = [0, *(np.flatnonzero(np.diff(share)) + 1).tolist(), len(left)]
+            out += [_packed(int(share[a]), *(z[left[a:b]] for z in (v, ctx, doc, rk, start, starts))) for a, b in zip(cuts, cuts[1:]) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary() if k else pa.int32()) for k in range(len(KINDS) + 1)], names=["share", *KINDS])
+
+    def resolve(table: pa.Table) -> pa.Table:
+        bare = pc.equal(pc.binary_length(table.column("vs")), 0)
+        ranges = table.filter(bare)
+        v, ctx, doc, rk, lo, starts = _unpacked(table.filter(pc.invert(bare))) if len(ranges) < len(table) else [none, none, *[np.zeros(0, np.int64)] * 4]
+        # Anchors that occur once are left out.
+        order = np.argsort(v, kind="stable")
+        same = v[order[1:]] == v[order[:-1]]
+        some = order[np.concatenate((same, [False]))[:len(v)] | np.concatenate(([False], same))[:len(v)]]
+        v, ctx, doc, rk, lo, starts = (z[some] for z in (v, ctx, doc, rk, lo, starts))
+        order, later = later_ones(ctx, doc, lo)
+        v, ctx, doc, rk, lo, starts = (z[order] for z in (v, ctx, doc, rk, lo, starts))
+        fresh = np.concatenate(([True], ctx[1:] != ctx[:-1]))[:len(ctx)]
+        heads = np.flatnonzero(fresh)
+        _, which, kinds = np.unique(v[heads], return_inverse=True, return_counts=True)
+        several = np.zeros(len(v), np.int64)
+        several[heads] = kinds[which]
+        held = heads[several[heads] > 1]
+        others: dict[int, set] = {}
+        for k in np.flatnonzero(~fresh & ~later).tolist():  # texts with one id, of which neither removes the other
+            head = int(heads[np.searchsorted(heads, k, side="right") - 1])
+            if several[head] > 1 and rk[k] != rk[head]:
+                others.setdefault(head, set()).add(int(rk[k]))
+        parts = [(doc[later], rk[later], lo[later], lo[later] + starts[later])]
+        if len(ranges):
+            _, _, d, r, a, n = _unpacked(ranges)
+            parts.append((d, r, a, a + n))
+        parts.append((doc[held], rk[held], lo[held], lo[held] + starts[held]))
+        d, r, a, b = (np.concatenate(z) for z in zip(*parts))
+        nothing = len(d) - len(held)
+        more = [sorted(others[k]) if k in others else None for k in held.tolist()]
+        after = lambda values, kind: pa.concat_arrays([pa.nulls(nothing, kind), pa.array(values, kind)])
+        return pa.table({
+            "doc": pa.array(d.astype(np.int64)), "rk": pa.array(r.astype(np.int64)), "lo": pa.array(a.astype(np.int32)), "hi": pa.array((b + (length - 1)).astype(np.int32)),
+            "v": after(v[held].view(np.int64), pa.int64()), "ctx": after(ctx[held].view(np.int64), pa.int64()), "kinds": after(several[held].astype(np.int32), pa.int32()), "others": after(more, pa.list_(pa.int64()))})
+
+    dealt = rows.mapInArrow(deal, "share int, " + ", ".join(f"{c} binary" for c in KINDS))
+    return dealt.groupBy("share").applyInArrow(resolve, "doc long, rk long, lo int, hi int, v long, ctx long, kinds int, others array<long>")
+
+
+def with_bytes(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """``wanted`` contexts with the bytes of their text; rows that come twice give theirs twice."""
+    place = F.coalesce("doc_id", F.lit(LAST)).alias("doc")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_SIZE)).cast("int").alias("slot")
+    slots = staged(wanted.select(slot("rk")).distinct(), "wanted-slots")  # at most FILTER_SIZE rows
+    texts = rows.select(place, "rk", "text", slot("rk")).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    asked = wanted.groupBy("doc", "rk").agg(F.collect_list(F.struct("v", "ctx", "lo", "hi", "kinds", "others")).alias("asked"))
+    kinds = {"doc": pa.int64(), "rk": pa.int64(), "others": pa.list_(pa.int64()), "v": pa.int64(), "ctx": pa.int64(), "start": pa.int32(), "starts": pa.int32(), "kinds": pa.int32(), "bytes": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
-            for buffer, v, starts, counts, at, offset in _scanned(batch.column("text").cast(pa.binary()).to_pylist(), length):
-                b = _bucket(v)
-                some = np.flatnonzero(bits[b >> 5] >> (b & 31).astype(np.uint32) & np.uint32(1))
-                v, at = v[some].view(np.int64), pa.array(at[some])
-                hashes, parts = [], []
-                for key, s, n in zip(v.tolist(), starts[some].tolist(), counts[some].tolist()):
-                    part = buffer[s:s + n + length - 1]
-                    h = xxhash.xxh3_64_intdigest(part) - (1 << 63)
-                    hashes.append(h)
-                    parts.append(None if (key, h) in seen else part)
-                    seen.add((key, h))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(v), pa.array(hashes, pa.int64()), batch.column("doc_id").take(at), batch.column("rk").take(at),
-                    pa.array(offset[some]), pa.array(counts[some].astype(np.int32)), pa.array(parts, pa.binary())], names=names)
-
-    return rows.mapInArrow(run, kind)
+            out: list[tuple] = []
+            for doc, rk, text, asked in zip(batch.column("doc").to_pylist(), batch.column("rk").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist()):
+                out += [(doc, rk, x["others"], x["v"], x["ctx"], x["lo"], x["hi"] - x["lo"] - (length - 1), x["kinds"], text[x["lo"]:x["hi"]]) for x in asked]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+
+    return texts.join(asked, ["doc", "rk"]).select("doc", "rk", "text", "asked").mapInArrow(run, "doc long, rk long, others array<long>, v long, ctx long, start int, starts int, kinds int, bytes binary")
 
 
 def shard_repeats(length: int):
-    """A function of one shard's contexts: (v, ctx, lo, hi) ranges of starts whose string starts earlier elsewhere."""
+    """A function of one shard's contexts: (doc, rk, others, lo, hi) ranges of bytes whose strings start earlier elsewhere."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.unique(table.column("ctx").to_numpy(), return_index=True)[1]))  # rows that come twice
         parts = table.column("bytes").to_pylist()
         sizes = np.array([len(p) for p in parts])
         text = np.frombuffer(b"\x00".join(parts) + b"\x00", np.uint8).astype(np.int16) + 2
@@ -188,8 +268,8 @@ def shard_repeats(length: int):
         gone[order] = rank[order] > least[number]
         edges = np.flatnonzero(np.diff(np.concatenate(([False], gone)).astype(np.int8)))
         lo, hi = edges[::2], edges[1::2]
-        of = pa.array(owner[lo])
-        return pa.table({"v": table.column("v").take(of), "ctx": table.column("ctx").take(of), "lo": pa.array(inside[lo].astype(np.int32)), "hi": pa.array((inside[lo] + hi - lo).astype(np.int32))})
+        of, begin = pa.array(owner[lo]), table.column("start").to_numpy()[owner[lo]] + inside[lo]
+        return pa.table({c: table.column(c).take(of) for c in ("doc", "rk", "others")} | {"lo": pa.array(begin.astype(np.int32)), "hi": pa.array((begin + hi - lo + length - 1).astype(np.int32))})
 
     return run
 
@@ -198,53 +278,44 @@ def split_repeats(hot: DataFrame, length: int) -> DataFrame:
     """The same ranges for contexts of very frequent anchors, by grouping the strings' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["v", "ctx", "doc", "at", "lo", "h1", "h2"]
+        kinds = {"doc": pa.int64(), "rk": pa.int64(), "others": pa.list_(pa.int64()), "at": pa.int32(), "h1": pa.int64(), "h2": pa.int64()}
         for batch in batches:
-            rows = {c: [] for c in names}
-            for v, ctx, doc, start, n, part in zip(*(batch.column(c).to_pylist() for c in ("v", "ctx", "doc", "start", "starts", "bytes"))):
+            rows = {c: [] for c in kinds}
+            for doc, rk, others, start, n, part in zip(*(batch.column(c).to_pylist() for c in ("doc", "rk", "others", "start", "starts", "bytes"))):
                 for k in range(n):
                     d = xxhash.xxh3_128_intdigest(part[k:k + length])
-                    for c, x in zip(names, (v, ctx, doc, start + k, k, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63))):
+                    for c, x in zip(kinds, (doc, rk, others, start + k, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63))):
                         rows[c].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c], pa.int32() if c == "lo" else pa.int64()) for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in kinds.items()], names=list(kinds))
 
-    strings = staged(hot.mapInArrow(run, "v long, ctx long, doc long, at long, lo int, h1 long, h2 long"), "anchor-strings")
+    strings = staged(hot.mapInArrow(run, "doc long, rk long, others array<long>, at int, h1 long, h2 long"), "anchor-strings")
     first = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = strings.join(first, ["h1", "h2"]).where(F.struct("doc", "at") > F.col("first"))
-    return later.select("v", "ctx", "lo", (F.col("lo") + 1).alias("hi"))
+    return later.select("doc", "rk", "others", F.col("at").alias("lo"), (F.col("at") + length).alias("hi"))
 
 
-def removed_ranges(rows: DataFrame, length: int = LENGTH, per_anchor: int = CONTEXTS_PER_ANCHOR) -> DataFrame:
-    """(doc_id, rk, lo, hi): byte ranges to remove, which may overlap; ``rows`` has doc_id, rk and text."""
+def placed_ranges(rows: DataFrame, length: int, per_anchor: int) -> DataFrame:
+    """(doc, rk, ranges), staged: per row the byte ranges (lo, hi) to remove, which may overlap; ``doc`` is the id or ``LAST``."""
     found = staged(contexts(rows, length), "contexts")
-    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("start").alias("start"))
-    groups = found.groupBy("v", "ctx").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("starts").alias("starts"))
-    groups = staged(groups, "context-groups")
-    kinds = groups.groupBy("v").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    keys = staged(groups.join(kinds, "v").select("v", "ctx", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "starts", "kinds"), "several-keys")
-    # Only these contexts' bytes are shuffled; the filter has at most FILTER_SIZE numbers.
-    slot = F.pmod("v", F.lit(FILTER_SIZE)).cast("int").alias("slot")
-    slots = staged(keys.select(slot).distinct(), "several-slots")
-    parts = found.where("bytes is not null").select("v", "ctx", "bytes", slot).join(F.broadcast(slots), "slot", "left_semi")
-    parts = parts.groupBy("v", "ctx").agg(F.first("bytes").alias("bytes"))
-    several = staged(keys.join(parts, ["v", "ctx"]), "several-contexts")
-    discard(keys, slots)
+    several = staged(with_bytes(rows, found.where("v is not null"), length), "several-contexts")
     usual = several.where(F.col("kinds") <= per_anchor)
     total = usual.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     shards = checked_partitions(total, SHARD_BYTES)
     dealt = usual.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
-    ranges = dealt.groupBy("shard").applyInArrow(shard_repeats(length), "v long, ctx long, lo int, hi int")
-    hot = several.where(F.col("kinds") > per_anchor)
-    ranges = ranges.unionByName(split_repeats(hot, length))
-    inner = staged(ranges.groupBy("v", "ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges")), "context-ranges")
+    ranges = dealt.groupBy("shard").applyInArrow(shard_repeats(length), "doc long, rk long, others array<long>, lo int, hi int")
+    ranges = ranges.unionByName(split_repeats(several.where(F.col("kinds") > per_anchor), length))
+    ranges = staged(ranges.select("doc", F.explode(F.concat(F.array("rk"), F.coalesce("others", F.array().cast("array<long>")))).alias("rk"), "lo", "hi"), "context-ranges")
     discard(several)
-    # Contexts that occur again or have ranges; the rest removes nothing.
-    needed = groups.select("v", "ctx", "first", "n", "starts").join(inner, ["v", "ctx"], "left").where("n > 1 or ranges is not null")
-    member = found.select("v", "ctx", "doc_id", "rk", "start").join(needed, ["v", "ctx"])
-    whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("starts").alias("hi")))
-    mine = F.when(place > F.col("first"), whole).otherwise(F.col("ranges"))
-    member = member.select("doc_id", "rk", "start", F.explode(mine).alias("r"))
-    return member.select("doc_id", "rk", (F.col("start") + F.col("r.lo")).alias("lo"), (F.col("start") + F.col("r.hi") + (length - 1)).alias("hi"))
+    spans = found.where("v is null").select("doc", "rk", "lo", "hi").unionByName(ranges)
+    spans = staged(spans.groupBy("doc", "rk").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges")), "removed-ranges")
+    discard(found, ranges)
+    return spans
+
+
+def removed_ranges(rows: DataFrame, length: int = LENGTH, per_anchor: int = CONTEXTS_PER_ANCHOR) -> DataFrame:
+    """(doc_id, rk, lo, hi): byte ranges to remove, which may overlap; ``rows`` has doc_id, rk and text."""
+    spans = placed_ranges(rows, length, per_anchor).withColumn("r", F.explode("ranges"))
+    return spans.select(F.nullif("doc", F.lit(LAST)).alias("doc_id"), "rk", "r.lo", "r.hi")
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -260,9 +331,9 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans) and the remaining bytes, or their SHA-256 with ``digests``, of each row."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(text)).alias("rk"), F.col(text).alias("text"))
-    spans = removed_ranges(rows, length).groupBy("doc_id", "rk").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    spans = staged(spans, "removed-ranges").select(F.col("doc_id").alias("s_id"), F.col("rk").alias("s_rk"), "ranges")
-    both = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("rk") == F.col("s_rk")), "left").select("doc_id", "text", "ranges")
+    spans = placed_ranges(rows, length, CONTEXTS_PER_ANCHOR)
+    place = F.coalesce("doc_id", F.lit(LAST)).alias("doc")
+    both = rows.select(place, "doc_id", "rk", "text").join(spans, ["doc", "rk"], "left").select("doc_id", "text", "ranges")
     last = "kept_sha256" if digests else "kept"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,6 +105,23 @@ def test_substring_removal(spark, rough):
     assert sum(v[1] for v in values) > 1000
 
 
+def test_only_contexts_that_tell_apart_are_kept(spark):
+    rng = random.Random(83)
+    word = lambda n: " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(n))
+    page, part = word(60), word(30)
+    docs = [(i, word(60)) for i in range(30)] + [(i, page) for i in range(30, 36)]
+    rows = lambda d: spark.createDataFrame(d, "doc_id long, text string").withColumn("rk", common.row_key(F.col("text")))
+    # Texts met once leave nothing, and copies leave the ranges they lose, neither anchors nor bytes.
+    found = substring_dedup.contexts(rows(docs), 100).collect()
+    assert {(r.doc, r.lo, r.hi) for r in found if r.hi - r.lo == len(page)} <= {(i, 0, len(page)) for i in range(31, 36)}
+    assert {r.doc for r in found} == set(range(31, 36)) and all(r.v is None for r in found)
+    # Different texts under one id tie where they are equal.
+    docs += [(40, part + word(20)), (40, part + word(9)), (40, part + word(9)), (41, word(3) + part + word(4)), (None, part), (None, part)]
+    values = brute.substring_removal(docs)
+    got = substring_dedup.dedup_substrings(rows(docs).drop("rk"), digests=True).collect()
+    assert sorted(map(str, got)) == sorted(map(str, (type(r)(doc_id=i, n_bytes=v[0], n_removed=v[1], n_spans=v[2], kept_sha256=v[3]) for r, (i, _), v in zip(got, docs, values))))
+
+
 def test_frequent_anchors_are_split(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "CONTEXTS_PER_ANCHOR", 1)
     docs = spark.createDataFrame([r[:2] for r in ROWS], "doc_id long, text string")
